@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelake.llm import splits, tokens
+from judgelake.llm import overlap, splits, tokens
 from judgelake.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, d, "documents"))
 
 
+BANK_QUESTIONS = "record_id bigint, split_role string, data_source string, question string"
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_pairs(read_table(spark, d, "response_bank", BANK_QUESTIONS))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(read_table(spark, d, "response_bank", BANK_QUESTIONS))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p6_ids": p6_ids}
+    return {
+        "p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
