@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelake.llm import overlap, splits, tokens
+from judgelake.llm import cutoff, leaks, overlap, splits, tokens
 from judgelake.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, d, "documents"))
 
 
+BANK_RESPONSES = (
+    "record_id bigint, data_source string, candidates array<struct<model_name string, response string, "
+    "reward_result struct<raw_judge_responses array<string>>>>"
+)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_cases(read_table(spark, d, "response_bank", BANK_RESPONSES))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_report(read_table(spark, d, "response_bank", BANK_RESPONSES))
+
+
 BANK_QUESTIONS = "record_id bigint, split_role string, data_source string, question string"
 
 
@@ -39,9 +53,15 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(read_table(spark, d, "response_bank", BANK_QUESTIONS))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report,
+        "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids,
+        "p7_found": p7_found,
     }
 
 
