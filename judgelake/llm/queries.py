@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelake.llm import cutoff, leaks, overlap, splits, tokens
+from judgelake.llm import cutoff, leaks, overlap, splits, subjects, tokens
 from judgelake.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +57,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.find_subjects(*(read_table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas"))).select("doc_id", "subject")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_report(*(read_table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report,
         "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids,
-        "p7_found": p7_found,
+        "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report,
     }
 
 
