@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelake.llm import cutoff, leaks, overlap, splits, subjects, tokens
+from judgelake.llm import cutoff, defects, leaks, overlap, splits, subjects, tokens
 from judgelake.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, d, "documents"))
 
 
+BANK_PAIRS = "record_id bigint, question string, candidates array<struct<response string>>"
+BENCH_PAIRS = "record_id bigint, question string, answers array<struct<answer_text string>>"
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.find_defects(read_table(spark, d, "response_bank", BANK_PAIRS), read_table(spark, d, "bench", BENCH_PAIRS))
+
+
 BANK_RESPONSES = (
     "record_id bigint, data_source string, candidates array<struct<model_name string, response string, "
     "reward_result struct<raw_judge_responses array<string>>>>"
@@ -67,7 +75,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report,
         "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids,
         "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report,
     }
