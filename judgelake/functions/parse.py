@@ -122,4 +122,5 @@ def likert(text: Column) -> Column:
     inner = boxed(text).try_cast("double")
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), 1), lambda s: s.try_cast("double"))
     loose = F.get(F.filter(numbers, lambda x: (x >= 1) & (x <= 10)), F.lit(0))
-    return (F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.coalesce(inner, loose))) - 1) / 9
+    x = F.coalesce(inner, loose)
+    return F.when(x.isNotNull(), (F.greatest(F.lit(1.0), F.least(F.lit(10.0), x)) - 1) / 9)
