@@ -163,13 +163,17 @@ def train(texts: list[str], limits: list[int], seed: int = 11) -> Model:
             met[w] = met.get(w, 0) + 1
     known = frozenset(w for w, c in met.items() if c >= 2)
     model = Model(limits, known)
-    intact = texts
+    at_limit = set(limits)
+    bare = lambda t: _MARK.sub("", t.rstrip())
+    # What ends in a mark of cutting, or unfinished at a limit, is no intact value to begin with.
+    intact = [t for t in texts if bare(t) == t.rstrip() and not (len(t) in at_limit and (t.rstrip()[-1:].isalnum() or t.rstrip()[-1:] == ","))] or texts
+    whole = intact
     for _ in range(3):
         cuts = [c for t in intact if (c := cut_artificially(t, limits, rng))]
         if not cuts or not intact:
             break
         model.fit(intact + cuts, np.concatenate([np.zeros(len(intact)), np.ones(len(cuts))]))
-        intact = [t for t in texts if model.score(t) < 0.6]
+        intact = [t for t in whole if model.score(t) < 0.6]
     return model
 
 

@@ -33,8 +33,8 @@ MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 SEED = 4
 #: A seed of more than this share of the items' texts, and of more than STOCK_LEAST texts, is stock.
 STOCK_SHARE, STOCK_LEAST = 0.02, 4
-#: A passage has at least so many matched words of at least this weight together.
-LEAST_WORDS, LEAST_WEIGHT = 8, 20.0
+#: A passage has at least so many matched words of at least this weight together; a word of one item only weighs 1.
+LEAST_WORDS, LEAST_WEIGHT = 8, 3.5
 #: Words of items whose seeds go to the tasks at once.
 BLOCK_WORDS = 400_000
 #: Words of a document, and of an item, that may lie between two hits of one passage.
@@ -157,13 +157,13 @@ class SeedTable:
             for e in ends:
                 gd, gi = d - e[0], i - e[1]
                 if 0 < gd <= GAP_DOCUMENT and 0 < gi <= GAP_ITEM:
-                    total, count = e[2] + w - 0.3 * max(0, gd - gi), e[3] + 1
+                    total, count = e[2] + w - 0.05 * max(0, gd - gi), e[3] + 1
                     for k in range(1, gi):
                         near = words[e[0] + k] if gd == gi else ""
                         if near and slip(near, item[e[1] + k]) and not near[0].isdigit():
                             total, count = total + 0.5 * weights[e[1] + k], count + 1
                         else:
-                            total -= max(0.6, weights[e[1] + k])
+                            total -= max(0.1, weights[e[1] + k])
                     if total > here[2]:
                         here = (d, i, total, count, e[4], e[5])
             ends = [e for e in ends if d - e[0] <= GAP_DOCUMENT]
@@ -178,7 +178,7 @@ class SeedTable:
         total, count = chain[2], chain[3]
         for d, i, step in ((chain[0], chain[1], 1), (chain[4], chain[5], -1)):
             run, more = 0.0, 0
-            while run > -3.0:
+            while run > -0.5:
                 d, i = d + step, i + step
                 if not (0 <= d < len(words) and 0 <= i < len(item)):
                     break
@@ -187,9 +187,9 @@ class SeedTable:
                 elif slip(words[d], item[i]) and not words[d][0].isdigit():
                     run, more = run + 0.5 * weights[i], more + 1
                 elif 0 <= d + step < len(words) and words[d + step] == item[i]:
-                    d, run, more = d + step, run + weights[i] - 0.3, more + 1
+                    d, run, more = d + step, run + weights[i] - 0.05, more + 1
                 else:
-                    run -= max(0.6, weights[i])
+                    run -= max(0.1, weights[i])
                 if run > 0:
                     total, count, run, more = total + run, count + more, 0.0, 0
         return total, count
@@ -202,8 +202,6 @@ def item_tables(items: DataFrame, item_id: str, fields: list[str], block_words:
     ).filter("length(text) > 0")
     # One pass for the statistics, which are as small as the items' vocabulary and seeds; a second one builds the blocks.
     met: Counter = Counter()
-    seeds: Counter = Counter()
-    number: dict[str, int] = {}
     seen: set[str] = set()
     for row in texts.toLocalIterator():
         words = passage_words(row["text"])
@@ -213,8 +211,8 @@ def item_tables(items: DataFrame, item_id: str, fields: list[str], block_words:
         seen.add(joined)
         met.update(set(words))
     n = max(1, len(seen))
-    rarity = {w: math.log((n + 1) / (c + 0.5)) for w, c in met.items()}
-    del number, seeds
+    unit = math.log((n + 1) / 1.5)
+    rarity = {w: math.log((n + 1) / (c + 0.5)) / unit for w, c in met.items()}
     block, size = [], 0
     shared = _shared_seeds(seen)
     limit = max(STOCK_LEAST, STOCK_SHARE * n)
