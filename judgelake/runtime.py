@@ -49,6 +49,8 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         self.made = 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)  # goes with the application
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df once and return it as a scan of what was written."""
