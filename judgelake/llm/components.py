@@ -32,23 +32,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every lower end is a root and every upper end has one root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)")
+    return loose.limit(1).count() == 0
 
 
 def contract(edges: DataFrame, stage: Stage, rounds: int = 200) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node of its component."""
     edges = stage.keep(edges)
-    before = _state(edges)
     for _ in range(rounds):
-        following = stage.keep(_small_star(_large_star(edges)))
-        stage.drop(edges)
-        edges, after = following, _state(following)
-        if after == before:
+        if _settled(edges):
             roots = edges.select(F.col("v").alias("node")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 roots.select("node", F.col("node").alias("root"))
             )
-        before = after
+        following = stage.keep(_small_star(_large_star(edges)))
+        stage.drop(edges)
+        edges = following
     raise RuntimeError(f"components not settled after {rounds} rounds")

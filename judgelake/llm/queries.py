@@ -81,5 +81,20 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _canonical(raw: str, prefix: str) -> str:
+    """SQL of splits.canonical_id."""
+    plain = f"regexp_replace(regexp_replace(lower({raw}), '[\\s\\x00-\\x1f\\x{{a0}}\\x{{200b}}]+', '', 'g'), '^[^\\p{{L}}\\p{{N}}]*(?:{prefix})?[^\\p{{L}}\\p{{N}}]*', '')"
+    number = f"regexp_replace(regexp_replace({plain}, '[,_'']', '', 'g'), '\\.0*$', '')"
+    return f"nullif(CASE WHEN regexp_matches({number}, '^\\d+$') THEN regexp_replace({number}, '^0+(\\d)', '\\1') ELSE regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') END, '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    question, candidate, spec = _canonical("question_id", "q"), _canonical("c.candidate_id", "resp"), _canonical("candidate_id", "resp")
+    return {
+        "p1_found": f"""WITH RECURSIVE s AS (SELECT {spec} AS k FROM candidate_specs),
+            keys AS (SELECT record_id, 'q:' || {question} AS key FROM response_bank UNION
+                SELECT record_id, 'c:' || k FROM (SELECT record_id, {candidate} AS k FROM (SELECT record_id, unnest(candidates) AS c FROM response_bank)) WHERE k NOT IN (SELECT k FROM s WHERE k IS NOT NULL)),
+            tied AS (SELECT DISTINCT a.record_id AS a, b.record_id AS b FROM keys a JOIN keys b ON a.key = b.key AND a.record_id <> b.record_id),
+            reached AS (SELECT a, b FROM tied UNION SELECT r.a, t.b FROM reached r JOIN tied t ON r.b = t.a)
+            SELECT a AS record_id, least(a, min(b)) AS group_id FROM reached GROUP BY a""",
+    }
