@@ -283,6 +283,33 @@ _SWEEP = f"""WITH {_PR}, g AS (SELECT prob AS threshold, sum(label) AS pos, coun
     z AS (SELECT *, {_classes()}, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy FROM v)"""
 
 ORACLE = {
+    "alignment": f"""WITH {_K}, x AS (SELECT record_id, lower(trim(candidate_id)) AS cid, c.reward_result AS r FROM k WHERE c.reward_result IS NOT NULL),
+        a AS (SELECT * FROM (SELECT record_id, cid, r.criterion_scores AS s, r.criterion_weights AS w, coalesce(r.num_parse_failures, 0) AS f, r.score AS sc, row_number() OVER (PARTITION BY record_id, cid ORDER BY coalesce(r.score, -1.0)) AS rn FROM x) WHERE rn = 1),
+        b0 AS (SELECT record_id, cid, r.criterion_yes_probs AS s, {_WS('r.criterion_yes_probs', 'r.criterion_weights')} AS sc FROM x WHERE r.criterion_yes_probs IS NOT NULL),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, cid ORDER BY coalesce(sc, -1.0)) AS rn FROM b0) WHERE rn = 1),
+        j AS (SELECT a.cid AS candidate_id, list_transform(a.s, lambda v: CASE WHEN v >= 0.5 THEN 1 ELSE 0 END) AS ra, list_transform(b.s, lambda v: CASE WHEN v >= 0.5 THEN 1 ELSE 0 END) AS cb, a.w, a.f, a.sc AS rs, b.sc AS cs FROM a JOIN b USING (record_id, cid)),
+        p AS (SELECT *, coalesce(len(ra) > 0 AND len(ra) = len(cb) AND len(ra) = len(w) AND f = 0 AND rs IS NOT NULL AND cs IS NOT NULL, false) AS ok FROM j),
+        q AS (SELECT *, CASE WHEN ok THEN list_transform(range(1, len(ra) + 1), lambda i: {{'r': ra[i], 'c': cb[i], 'w': coalesce(w[i], 1.0)}}) ELSE [] END AS z, cs - rs AS d FROM p),
+        g AS (SELECT candidate_id, GROUPING(candidate_id) AS overall, count(*) AS n, count(*) FILTER (ok) AS kk, sum(f) AS rf, sum(CASE WHEN len(ra) > 0 THEN len(ra) ELSE 1 END) AS rj, sum(len(z)) AS items, count(*) FILTER (ok AND ra = cb) AS ex,
+          {', '.join(f"coalesce(sum(len(list_filter(z, lambda e: {c}))), 0) AS {n}" for n, c in (('same', 'e.r = e.c'), ('pos', 'e.w > 0'), ('pos_same', 'e.w > 0 AND e.r = e.c'), ('pen', 'e.w < 0'), ('pen_same', 'e.w < 0 AND e.r = e.c'), ('tp', 'e.r = 1 AND e.c = 1'), ('fp', 'e.r = 0 AND e.c = 1'), ('fn', 'e.r = 1 AND e.c = 0'), ('tn', 'e.r = 0 AND e.c = 0')))},
+          sum(coalesce(list_sum(list_transform(z, lambda e: abs(e.w))), 0)) AS wt, sum(coalesce(list_sum(list_transform(list_filter(z, lambda e: e.r = e.c), lambda e: abs(e.w))), 0)) AS wt_same,
+          count(*) FILTER (ok AND abs(d) <= 1e-12) AS ss, coalesce(sum(abs(d)) FILTER (ok), 0) AS ad, coalesce(sum(d * d) FILTER (ok), 0) AS sd, coalesce(sum(d) FILTER (ok), 0) AS sg, count(*) FILTER (ok AND abs(d) <= 0.05) AS w05, count(*) FILTER (ok AND abs(d) <= 0.10) AS w10,
+          coalesce(sum(rs) FILTER (ok), 0) AS rsum, coalesce(sum(cs) FILTER (ok), 0) AS csum,
+          coalesce(CASE WHEN stddev_pop(rs) FILTER (ok) * stddev_pop(cs) FILTER (ok) > 0 THEN covar_pop(rs, cs) FILTER (ok) / (stddev_pop(rs) FILTER (ok) * stddev_pop(cs) FILTER (ok)) END, 0.0) AS rho
+          FROM q GROUP BY GROUPING SETS ((), (candidate_id)))
+        SELECT candidate_id, CAST(overall AS BIGINT) AS overall, n AS samples_total, kk AS samples_parse_ok, CAST(items AS BIGINT) AS criterion_items_total, {_classes()}, {', '.join(f"round({e}, 6) AS {n}" for n, e in (
+          ('parse_success_rate', _R('kk', 'n')), ('reference_parse_success_rate', f"1 - {_R('rf', 'rj')}"), ('candidate_parse_success_rate', 'CAST(1 AS DOUBLE)'), ('rule_exact_match_rate', _R('ex', 'kk')), ('rule_hamming_accuracy', _R('same', 'items')),
+          ('rule_positive_accuracy', _R('pos_same', 'pos')), ('rule_penalty_accuracy', _R('pen_same', 'pen')), ('rule_weighted_accuracy_abs', _R('wt_same', 'wt')), ('score_exact_match_rate', _R('ss', 'kk')), ('score_mae', _R('ad', 'kk')),
+          ('score_rmse', f"sqrt({_R('sd', 'kk')})"), ('score_mean_error_bias', _R('sg', 'kk')), ('score_within_0p05_rate', _R('w05', 'kk')), ('score_within_0p10_rate', _R('w10', 'kk')), ('score_pearson', 'rho'), ('reference_mean_score', _R('rsum', 'kk')), ('candidate_mean_score', _R('csum', 'kk'))))}
+        FROM g WHERE n >= 5 OR overall = 1""",
+    "violations": f"""WITH {_C}, r AS (SELECT c.reward_result AS r FROM c WHERE c.reward_result IS NOT NULL), s AS (SELECT r, r.criterion_scores AS s, r.criterion_weights AS w, r.criterion_parse_ok AS o, r.score AS sc FROM r),
+        i AS (SELECT question_id AS k, count(*) AS m FROM response_bank GROUP BY 1),
+        a AS (SELECT 'vector_length' AS "check" FROM s WHERE len(s) <> len(w) OR len(s) <> len(o) UNION ALL SELECT 'label_not_binary' FROM s WHERE len(list_filter(s, lambda x: x <> 0 AND x <> 1)) > 0
+          UNION ALL SELECT 'label_null' FROM s WHERE len(list_filter(s, lambda x: x IS NULL)) > 0 UNION ALL SELECT 'score_missing' FROM s WHERE sc IS NULL UNION ALL SELECT 'not_parsed' FROM s WHERE len(list_filter(o, lambda x: NOT coalesce(x, false))) > 0
+          UNION ALL SELECT 'score_not_finite' FROM s WHERE isnan(sc) OR isinf(sc)
+          UNION ALL SELECT 'score_differs' FROM s WHERE len(s) = len(w) AND len(list_filter(s, lambda x: x IS NULL)) = 0 AND abs(sc - {_WS('s', 'w')}) > 1e-6
+          UNION ALL SELECT 'id_blank' FROM i WHERE coalesce(trim(k, ' '), '') = '' UNION ALL SELECT 'id_repeated' FROM i WHERE m > 1 AND trim(k, ' ') <> '')
+        SELECT "check", count(*) AS n FROM a GROUP BY 1""",
     "keyed_candidates": f"WITH {_K} SELECT record_id, candidate_id, cand_pos FROM k",
     "bank_items": f"""WITH {_K}, u AS (SELECT record_id, candidate_id, rubric, c.reward_result.criterion_scores AS s, unnest(range(1, len(rubric) + 1)) AS i FROM k
         WHERE coalesce(c.reward_result.num_parse_failures, 0) = 0 AND len(c.reward_result.criterion_scores) = len(rubric) AND len(rubric) > 0 AND len(list_filter(c.reward_result.criterion_scores, lambda x: x IS NULL)) = 0)

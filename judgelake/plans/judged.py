@@ -227,7 +227,23 @@ _LINES = """l AS (SELECT model, sample_id, id, num_rules, raw_output, unnest(lis
     base AS (SELECT *, row_number() OVER () AS id FROM predictions),
     made AS (SELECT base.*, CASE WHEN vec.n = base.num_rules AND lo = 1 AND hi = base.num_rules THEN vs END AS vs FROM base LEFT JOIN vec USING (id))"""
 
+_S = "(?i)^Rule\\s*(\\d+)\\s*:\\s*.*?\\bVerdict\\s*:\\s*(Yes|No|Y|N)$"
+_R1 = "(?i)^(?:[-*•]\\s*)?Rule\\s*(\\d+)\\s*[:.)-]?.*?\\bVerdict\\s*[:=-]?\\s*(yes|no|y|n|true|false|0|1)\\b"
+_R2 = "(?i)^(?:[-*•]\\s*)?Rule\\s*(\\d+)\\s*[:.)-]?.*?\\b(yes|no|y|n|true|false)[.]?$"
+_REASONS = f"""{_LINES},
+    f AS (SELECT id, TRY_CAST(nullif(regexp_extract(line, '{_S}', 1), '') AS INT) AS s,
+            coalesce(TRY_CAST(nullif(regexp_extract(line, '{_R1}', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(line, '{_R2}', 1), '') AS INT)) AS r FROM l2),
+    g AS (SELECT id, list_sort(list(DISTINCT s) FILTER (s IS NOT NULL)) AS ss, list_sort(list(DISTINCT r) FILTER (r IS NOT NULL)) AS rs FROM f GROUP BY 1),
+    e AS (SELECT model, num_rules AS n, range(1, num_rules + 1) AS want, g.id IS NULL AS blank, coalesce(ss, []) AS ss, coalesce(rs, []) AS rs, list_distinct(list_concat(coalesce(ss, []), coalesce(rs, []))) AS every
+          FROM base LEFT JOIN g USING (id)),
+    w AS (SELECT model, CASE WHEN ss = want OR rs = want THEN NULL WHEN blank THEN 'empty' WHEN len(every) = 0 THEN 'no_verdicts'
+            WHEN len(list_filter(want, lambda i: NOT list_contains(every, i))) > 0 AND len(list_filter(every, lambda i: i < 1 OR i > n)) > 0 THEN 'mixed'
+            WHEN len(list_filter(every, lambda i: i < 1 OR i > n)) > 0 THEN 'extra_rules' ELSE 'missing_rules' END AS reason FROM e)"""
+
 ORACLE = {
+    "parse_failure_reasons": f"WITH {_REASONS} SELECT model, reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY GROUPING SETS ((reason), (model, reason))",
+    "top_failure_reasons": f"""WITH {_REASONS}, c AS (SELECT model, reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY 1, 2),
+        t AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY n DESC, reason) AS k FROM c) SELECT model, string_agg(reason, ',' ORDER BY k) AS reasons FROM t WHERE k <= 3 GROUP BY 1""",
     "metric_suite": _suite(),
     "metric_suite_full_policy": f"WITH {_P}, {_PAIRS}, {_ordering('f')} SELECT * FROM o",
     "pairwise_order": f"WITH {_P}, {_PAIRS} SELECT model, question_id, n_all, pairs_all, pairs, rights AS \"right\" FROM q",
