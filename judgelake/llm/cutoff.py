@@ -22,7 +22,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgelake.llm.text import fold, words_of
@@ -165,14 +165,16 @@ def train(texts: list[str], limits: list[int], seed: int = 11) -> Model:
     model = Model(limits, known)
     at_limit = set(limits)
     bare = lambda t: _MARK.sub("", t.rstrip())
-    # What ends in a mark of cutting, or unfinished at a limit, is no intact value to begin with.
-    intact = [t for t in texts if bare(t) == t.rstrip() and not (len(t) in at_limit and (t.rstrip()[-1:].isalnum() or t.rstrip()[-1:] == ","))] or texts
+    bald = lambda t: t.rstrip()[-1:].isalnum() or t.rstrip()[-1:] == ","
+    # What ends in a mark of cutting is no intact value to begin with, nor what ends bald at a limit, unless most values do.
+    usual = sum(map(bald, texts)) > 0.75 * len(texts)
+    intact = [t for t in texts if bare(t) == t.rstrip() and (usual or not (len(t) in at_limit and bald(t)))] or texts
     whole = intact
-    for _ in range(3):
+    for rounds in (120, 120, 250):
         cuts = [c for t in intact if (c := cut_artificially(t, limits, rng))]
         if not cuts or not intact:
             break
-        model.fit(intact + cuts, np.concatenate([np.zeros(len(intact)), np.ones(len(cuts))]))
+        model.fit(intact + cuts, np.concatenate([np.zeros(len(intact)), np.ones(len(cuts))]), rounds)
         intact = [t for t in whole if model.score(t) < 0.6]
     return model
 
@@ -193,35 +195,47 @@ def bank_values(bank: DataFrame, record_id: str = "record_id") -> DataFrame:
     return rows.filter(F.col("value").rlike(r"\S")).withColumn("value_pos", F.col("value_pos").cast("bigint"))
 
 
-def _unfinished(value: Column) -> Column:
-    return F.rtrim(value).rlike(r"[\p{L}\p{N},…�\\]$|\.\.\.$")
+def survey(values: DataFrame) -> tuple[dict[str, list[int]], dict[str, int]]:
+    """Limits and number of values of each field (field, value), in one pass over them.
 
-
-def length_limits(values: DataFrame) -> dict[str, list[int]]:
-    """Lengths at which unfinished values of a field pile up; lengths count without a mark of cutting."""
-    bare = F.regexp_replace("value", r"(?:…|\.\.\.|\s*\[(?:\.\.\.|truncated|cut)\]|<cut>|�+)$", "")
-    lengths = values.filter(_unfinished(F.col("value")) | (bare != F.col("value"))).groupBy("field", F.length(bare).alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    around = lengths.select("field", "n", "length", F.explode(F.array([F.lit(k) for k in range(-4, 5)])).alias("step"))
+    A limit is a length at which unfinished values pile up; lengths count without a mark of cutting.
+    """
+    end = F.right(F.rtrim("value"), F.lit(24))
+    bare = F.regexp_replace(end, r"(?:…|\.\.\.|\s*\[(?:\.\.\.|truncated|cut)\]|<cut>|�+)$", "")
+    unfinished = end.rlike(r"[\p{L}\p{N},\\]$") | (bare != end)
+    rows = values.select("field", (F.length(F.rtrim("value")) - F.length(end) + F.length(bare)).alias("length"), unfinished.alias("u"))
+    lengths = rows.groupBy("field", "length").agg(F.count(F.lit(1)).alias("all"), F.count_if("u").alias("n"))
+    lengths = Stage(values.sparkSession).keep(lengths)  # one row for each length that occurs
+    totals = {r["field"]: r["n"] for r in lengths.groupBy("field").agg(F.sum("all").alias("n")).collect()}
+    around = lengths.filter("n > 0").select("field", "n", "length", F.explode(F.array([F.lit(k) for k in range(-4, 5)])).alias("step"))
     around = around.groupBy("field", (F.col("length") + F.col("step")).alias("length")).agg(F.sum("n").alias("sum"))
     peaks = lengths.filter(F.col("n") >= LEAST_AT_LIMIT).join(around, ["field", "length"]).filter(F.col("n") > PEAK * ((F.col("sum") - F.col("n")) / 8 + 1))
-    out: dict[str, list[int]] = {}
+    limits: dict[str, list[int]] = {}
     for row in peaks.orderBy("field", F.desc("n"), "length").limit(64).collect():  # limits of fields are few
-        out.setdefault(row["field"], []).append(row["length"])
+        limits.setdefault(row["field"], []).append(row["length"])
+    return limits, totals
+
+
+def sampled(values: DataFrame, key: list[str], totals: dict[str, int], sample: int) -> dict[str, list[str]]:
+    """At most sample values of each field, those first by a hash of their key; the documented bound."""
+    draw = F.pmod(F.xxhash64("field", *key), F.lit(1 << 30))
+    share = F.lit(0)
+    for field, n in totals.items():
+        share = F.when(F.col("field") == field, int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 30))).otherwise(share)
+    picked = values.filter(draw < share).select("field", draw.alias("draw"), *key, "value")
+    out: dict[str, list[str]] = {}
+    for r in picked.orderBy("draw", *key).limit(max(1, len(totals)) * 2 * sample).collect():
+        if len(own := out.setdefault(r["field"], [])) < sample:
+            own.append(r["value"])
     return out
 
 
 def find_cut(bank: DataFrame, record_id: str = "record_id", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """bank_values without the value, with score and cut (boolean) for every value."""
     values = bank_values(bank, record_id)
-    limits = length_limits(values)
-    draw = F.pmod(F.xxhash64("record_id", "cand_pos", "field", "value_pos"), F.lit(1 << 30))
-    totals = {r["field"]: r["n"] for r in values.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
-    models: dict[str, Model] = {}
-    for field, n in totals.items():
-        share = min(1.0, 1.3 * sample / n)
-        picked = values.filter((F.col("field") == field) & (draw < int(share * (1 << 30)))).select(draw.alias("draw"), "record_id", "cand_pos", "value_pos", "value")
-        rows = picked.orderBy("draw", "record_id", "cand_pos", "value_pos").limit(sample).collect()  # the documented bound
-        models[field] = train([r["value"] for r in rows], limits.get(field, []))
+    limits, totals = survey(values)
+    drawn = sampled(values, ["record_id", "cand_pos", "value_pos"], totals, sample)
+    models = {field: train(drawn[field], limits.get(field, [])) for field in sorted(drawn)}
     shared = bank.sparkSession.sparkContext.broadcast(models)
     columns = ["record_id", "cand_pos", "field", "value_pos", "data_source", "model_name"]
 
