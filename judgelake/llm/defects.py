@@ -244,13 +244,9 @@ def find_defects(bank: DataFrame, bench: DataFrame, sample: int = SAMPLE) -> Dat
     """(origin, record_id, pos, defect) of the defective pairs of both tables."""
     pairs = _answers(bank, "candidates", "response", "response_bank").unionByName(_answers(bench, "answers", "answer_text", "bench"))
     values = pairs.select(F.lit("answer").alias("field"), "origin", "record_id", F.posexplode("answers").alias("place", "value")).filter(F.col("value").rlike(r"\S"))
-    limits = cutoff.length_limits(values).get("answer", [])
-    n = values.count()
-    draw = F.pmod(F.xxhash64("origin", "record_id", "place"), F.lit(1 << 30))
-    share = min(1.0, 1.3 * sample / max(n, 1))
-    picked = values.filter(draw < int(share * (1 << 30))).select(draw.alias("draw"), "origin", "record_id", "place", "value")
-    rows = picked.orderBy("draw", "origin", "record_id", "place").limit(sample).collect()  # the documented bound
-    shared = bank.sparkSession.sparkContext.broadcast(Judge(cutoff.train([r["value"] for r in rows], limits)))
+    limits, totals = cutoff.survey(values)
+    drawn = cutoff.sampled(values, ["origin", "record_id", "place"], totals, sample).get("answer", [])
+    shared = bank.sparkSession.sparkContext.broadcast(Judge(cutoff.train(drawn, limits.get("answer", []))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
