@@ -7,6 +7,8 @@ looser one and then to a broad one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +30,23 @@ BROAD = [
 ]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hit(line: Column, patterns: list[tuple[str, int, int]]) -> Column:
-    """(rule, verdict) of the first pattern that matches a line; both null where none does."""
-    rule, said = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for pattern, k, v in reversed(patterns):
-        fits = line.rlike(pattern)
-        rule = F.when(fits, F.regexp_extract(line, pattern, k).try_cast("int")).otherwise(rule)
-        said = F.when(fits, F.lower(F.regexp_extract(line, pattern, v))).otherwise(said)
-    verdict = F.when(said.isin("yes", "y", "true", "1"), 1).when(said.isNotNull(), 0)
-    return F.struct(rule.alias("rule"), verdict.alias("verdict"))
+    """(rule, verdict) of the first pattern that matches a line; null where none does."""
+
+    def of(pattern: str, k: int, v: int) -> Column:
+        def read(rule: Column) -> Column:
+            yes = F.lower(F.regexp_extract(line, pattern, v)).isin("yes", "y", "true", "1")
+            return F.when(rule != "", F.struct(rule.try_cast("int").alias("rule"), F.when(yes, 1).otherwise(0).alias("verdict")))
+
+        return bound(F.regexp_extract(line, pattern, k), read)
+
+    tries = [of(*p) for p in patterns]
+    return F.coalesce(*tries) if len(tries) > 1 else tries[0]
 
 
 def hits(text_lines: Column, patterns: list[tuple[str, int, int]]) -> Column:
@@ -49,36 +59,47 @@ def _last(found: Column, rule: Column) -> Column:
 
 def vector(passes: list[Column], n: Column) -> Column:
     """Verdicts of rules 1..n, a later pass before an earlier one; null unless complete and without other rules."""
-    every = F.concat(*passes)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(*[_last(p, i) for p in reversed(passes)]))
-    foreign = F.exists(every, lambda h: (h["rule"] < 1) | (h["rule"] > n))
-    return F.when((n > 0) & ~foreign & ~F.exists(made, lambda v: v.isNull()), made)
+
+    def read(every: Column) -> Column:  # all passes in one list: the last hit of a rule is the latest pass's
+        foreign = F.exists(every, lambda h: (h["rule"] < 1) | (h["rule"] > n))
+        made = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _last(every, i))
+        return F.when((n > 0) & ~foreign, bound(made, lambda m: F.when(~F.exists(m, lambda v: v.isNull()), m)))
+
+    return bound(F.concat(*passes) if len(passes) > 1 else passes[0], read)
 
 
 def strict(text: Column, n: Column) -> Column:
     """Every line "Rule i: ... Verdict: Yes"; null for an unreadable or empty text, empty for no rules."""
-    return F.when(n == 0, F.when(F.size(lines(text)) > 0, F.array().cast("array<int>"))).otherwise(vector([hits(lines(text), STRICT)], n))
+    return bound(lines(text), lambda ls: _strict(ls, n))
+
+
+def _strict(ls: Column, n: Column) -> Column:
+    return F.when(n == 0, F.when(F.size(ls) > 0, F.array().cast("array<int>"))).otherwise(vector([hits(ls, STRICT)], n))
 
 
 def relaxed(text: Column, n: Column, broad: bool = True, carry: bool = False) -> Column:
     """Strict, else relaxed, else (if broad) broad. carry keeps a strict pass of n wrong rules, as one older reader does."""
-    ls = lines(text)
-    first, second = hits(ls, STRICT), hits(ls, RELAXED)
-    kept = F.when(F.size(F.array_distinct(first["rule"])) == n, first).otherwise(F.array().cast("array<struct<rule:int,verdict:int>>"))
-    base = [kept] if carry else []
-    tries = [strict(text, n), vector([*base, second], n)]
-    if broad:
-        tries.append(vector([*base, second, hits(F.transform(ls, lambda s: F.regexp_replace(s, ",+$", "")), BROAD)], n))
-    return F.coalesce(*tries)
+
+    def read(ls: Column) -> Column:
+        base = []
+        if carry:
+            none = F.array().cast("array<struct<rule:int,verdict:int>>")
+            base = [bound(hits(ls, STRICT), lambda f: F.when(F.size(F.array_distinct(f["rule"])) == n, f).otherwise(none))]
+        second = hits(ls, RELAXED)
+        tries = [_strict(ls, n), vector([*base, second], n)]
+        if broad:
+            tries.append(vector([*base, second, hits(F.transform(ls, lambda s: F.regexp_replace(s, ",+$", "")), BROAD)], n))
+        return F.coalesce(*tries)
+
+    return bound(lines(text), read)
 
 
 def source(text: Column, n: Column) -> Column:
     """Which pass read the text."""
-    ls = lines(text)
-    second = hits(ls, RELAXED)
-    return (
-        F.when(strict(text, n).isNotNull(), "strict").when(vector([second], n).isNotNull(), "relaxed")
-        .when(relaxed(text, n).isNotNull(), "broad").otherwise("failed")
+    return bound(
+        lines(text),
+        lambda ls: F.when(_strict(ls, n).isNotNull(), "strict").when(vector([hits(ls, RELAXED)], n).isNotNull(), "relaxed")
+        .when(relaxed(text, n).isNotNull(), "broad").otherwise("failed"),
     )
 
 
@@ -94,15 +115,21 @@ def sequential(text: Column, n: Column) -> Column:
 
 def failure(text: Column, n: Column) -> Column:
     """Why a text gives no vector: empty, no_verdicts, missing_rules, extra_rules or mixed; null if it gives one."""
-    ls = lines(text)
-    rules = F.array_distinct(F.concat(hits(ls, STRICT)["rule"], hits(ls, RELAXED)["rule"]))
-    missing = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.array_contains(rules, i))
-    extra = F.exists(rules, lambda r: (r < 1) | (r > n))
-    return (
-        F.when(relaxed(text, n, broad=False).isNotNull(), F.lit(None).cast("string"))
-        .when(F.coalesce(F.size(ls), F.lit(0)) == 0, "empty").when(F.size(rules) == 0, "no_verdicts")
-        .when(missing & extra, "mixed").when(extra, "extra_rules").otherwise("missing_rules")
-    )
+
+    def why(ls: Column) -> Column:
+        def of(rules: Column) -> Column:
+            missing = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.array_contains(rules, i))
+            extra = F.exists(rules, lambda r: (r < 1) | (r > n))
+            return (
+                F.when(F.coalesce(F.size(ls), F.lit(0)) == 0, "empty").when(F.size(rules) == 0, "no_verdicts")
+                .when(missing & extra, "mixed").when(extra, "extra_rules").otherwise("missing_rules")
+            )
+
+        none = F.array().cast("array<int>")
+        rules = F.array_distinct(F.concat(F.coalesce(hits(ls, STRICT)["rule"], none), F.coalesce(hits(ls, RELAXED)["rule"], none)))
+        return F.when(F.coalesce(_strict(ls, n), vector([hits(ls, RELAXED)], n)).isNull(), bound(rules, of))
+
+    return bound(lines(text), why)
 
 
 def boxed(text: Column) -> Column:
