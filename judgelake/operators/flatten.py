@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HARD, SOFT = 3, 1
@@ -57,16 +56,20 @@ def candidates(bank: DataFrame, *extra: str) -> DataFrame:
     return rows.filter(F.col("c").isNotNull()).withColumn("cand_pos", F.col("cand_pos").cast("bigint"))
 
 
-def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row of each key in an order; unlike a plain distinct it says which row stays."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """First (or last) row of each key in an order; unlike a plain distinct it says which row stays.
+
+    An aggregate rather than a window: rows of a hot key are reduced before they are shuffled. Null keys are a key.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    best = (F.max_by if last else F.min_by)(F.struct(*others), F.struct(*order)).alias("_row")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
 def keyed_candidates(bank: DataFrame, *extra: str) -> DataFrame:
     """One row per record and candidate id; of repeated ids the last counts. Null ids name nothing."""
     rows = candidates(bank, *extra).filter(F.col("c.candidate_id").isNotNull()).withColumn("candidate_id", F.col("c.candidate_id"))
-    return first_of_each(rows, ["record_id", "candidate_id"], [F.col("cand_pos").desc()])
+    return first_of_each(rows, ["record_id", "candidate_id"], ["cand_pos"], last=True)
 
 
 def parse_clean(result: Column, rubric: Column) -> Column:

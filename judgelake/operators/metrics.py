@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from judgelake.functions.num import f1, mcc, pearson, ratio, six
 
 
+#: Ranges of probability of a threshold sweep.
+SLICES = 4096
+
+
 def judged(predictions: DataFrame) -> DataFrame:
     """Prediction rows with their vectors as arrays."""
     vector = lambda c: F.from_json(F.nullif(F.trim(F.col(c)), F.lit("")), "array<int>")
@@ -103,22 +107,22 @@ def question_figures(rows: DataFrame, by: str = "model") -> DataFrame:
     ok = F.coalesce(F.col("parse_ok"), F.lit(False))
     whole = rows.groupBy(by, "question_id").agg(F.count(F.lit(1)).alias("n_all"), F.bool_and(ok).alias("full"))
     whole = whole.filter("n_all >= 2")
-    cells = rows.filter(ok).groupBy(by, "question_id", F.col("gold_total_score").cast("double").alias("g"), F.col("pred_total_score").cast("double").alias("p")).agg(
-        F.count(F.lit(1)).alias("m"), F.collect_set("answer_id").alias("ids")
-    )
-    per = cells.groupBy(by, "question_id").agg(F.sum("m").alias("n_ok"), F.collect_list(F.struct("g", "p", "m", "ids")).alias("cells"))
-    per = per.filter("n_ok >= 2")
+    read = rows.filter(ok).select(by, "question_id", "answer_id", F.col("gold_total_score").cast("double").alias("g"), F.col("pred_total_score").cast("double").alias("p"))
+    cells = read.groupBy(by, "question_id", "g", "p").agg(F.count(F.lit(1)).alias("m"))
+    per = cells.groupBy(by, "question_id").agg(
+        F.sum("m").alias("n_ok"), F.collect_list(F.struct("g", "p", "m")).alias("cells"), *[f(x).alias(f"{x}_{name}") for x in "gp" for name, f in (("max", F.max), ("min", F.min))]
+    ).filter("n_ok >= 2")
     c = F.col("cells")
     same = lambda a, b: F.signum(a["g"] - b["g"]) == F.signum(a["p"] - b["p"])
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
     cross = F.transform(c, lambda a, i: total(F.transform(F.slice(c, i + 2, F.size(c)), lambda b: F.when(same(a, b), a["m"] * b["m"]).otherwise(F.lit(0)).cast("bigint"))))
     within = total(F.transform(c, lambda a: F.floor(a["m"] * (a["m"] - 1) / 2).cast("bigint")))
-    ids = lambda key, best: F.flatten(F.filter(c, lambda x: x[key] == best)["ids"])
-    edge = lambda f: F.size(F.array_intersect(ids("g", f(c["g"])), ids("p", f(c["p"])))) > 0
-    per = per.select(
-        by, "question_id", F.floor(F.col("n_ok") * (F.col("n_ok") - 1) / 2).cast("bigint").alias("pairs"), (total(cross) + within).alias("right"),
-        edge(F.array_max).alias("top"), edge(F.array_min).alias("bottom"),
-    )
+    # The best and worst sets meet if one answer is in both; answers are reduced to four marks each, no set is collected.
+    marks = read.join(per.select(by, "question_id", "g_max", "p_max", "g_min", "p_min"), [by, "question_id"]).groupBy(by, "question_id", "answer_id").agg(
+        *[F.max(F.when(F.col(x) == F.col(f"{x}_{e}"), 1).otherwise(0)).alias(f"{x}{e}") for x in "gp" for e in ("max", "min")]
+    )
+    edges = marks.groupBy(by, "question_id").agg(F.bool_or((F.col("gmax") == 1) & (F.col("pmax") == 1)).alias("top"), F.bool_or((F.col("gmin") == 1) & (F.col("pmin") == 1)).alias("bottom"))
+    per = per.select(by, "question_id", F.floor(F.col("n_ok") * (F.col("n_ok") - 1) / 2).cast("bigint").alias("pairs"), (total(cross) + within).alias("right")).join(edges, [by, "question_id"])
     joined = whole.join(per, [by, "question_id"], "left")
     return joined.withColumn("pairs_all", F.floor(F.col("n_all") * (F.col("n_all") - 1) / 2).cast("bigint"))
 
@@ -174,10 +178,20 @@ def threshold_sweep(items: DataFrame, prob: str, label: str) -> DataFrame:
     Probabilities are counted first; running sums from the top give every threshold in one sort of distinct values.
     """
     cells = items.groupBy(F.col(prob).alias("threshold")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("m"))
-    totals = cells.agg(F.sum("pos").alias("all_pos"), F.sum("m").alias("all_m"))
-    down = W.orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0)
-    run = cells.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("m").over(down).alias("called"))
-    out = run.join(totals).select(
+    # Sums of SLICES ranges of probability give each range its start; within a range a window sorts on its own.
+    cells = cells.withColumn("slice", F.least(F.greatest(F.floor(F.col("threshold") * SLICES), F.lit(0)), F.lit(SLICES)).cast("int"))
+    slices = cells.groupBy("slice").agg(F.sum("pos").alias("sp"), F.sum("m").alias("sm"))
+    above = W.orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy()
+    slices = slices.select(
+        "slice", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("sm").over(above), F.lit(0)).alias("m0"),
+        F.sum("sp").over(every).alias("all_pos"), F.sum("sm").over(every).alias("all_m"),
+    )
+    down = W.partitionBy("slice").orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0)
+    run = cells.join(slices, "slice").select(
+        "threshold", "all_pos", "all_m", (F.col("p0") + F.sum("pos").over(down)).alias("tp"), (F.col("m0") + F.sum("m").over(down)).alias("called")
+    )
+    out = run.select(
         "threshold", "tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("all_pos") - F.col("tp")).alias("fn"),
         (F.col("all_m") - F.col("all_pos") - F.col("called") + F.col("tp")).alias("tn"),
     )

@@ -58,7 +58,7 @@ def merge_dedup(spark: SparkSession, d: str) -> DataFrame:
     first = rows.filter(F.col("record_id") % 2 == 0).select("record_id", "question_id", "ingested_at")
     second = rows.filter(F.col("record_id") % 2 == 1).select("record_id", "question_id", "ingested_at")
     merged = first.unionByName(second).filter("question_id is not null")
-    return flatten.first_of_each(merged, ["question_id"], [F.col("ingested_at"), F.col("record_id")]).select("record_id", "question_id")
+    return flatten.first_of_each(merged, ["question_id"], ["ingested_at", "record_id"]).select("record_id", "question_id")
 
 
 def rubric_listing(spark: SparkSession, d: str) -> DataFrame:

@@ -40,7 +40,7 @@ def average_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_type_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy by hard and soft rules: predictions with the rules of their question."""
-    bench = flatten.first_of_each(read_table(spark, d, "bench").filter("question_id is not null and size(refined_rubric) > 0"), ["question_id"], [F.col("record_id")])
+    bench = flatten.first_of_each(read_table(spark, d, "bench").filter("question_id is not null and size(refined_rubric) > 0"), ["question_id"], ["record_id"])
     rules = bench.select("question_id", F.transform("refined_rubric", lambda r: r["type"]).alias("types"))
     rows = _rows(spark, d).join(rules, "question_id").filter(F.size("types") == F.size("gold"))
     # Counts stay within the row; no row becomes one per rule.

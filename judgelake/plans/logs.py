@@ -46,7 +46,7 @@ def probe_train(spark: SparkSession, d: str) -> DataFrame:
 def first_documents(spark: SparkSession, d: str) -> DataFrame:
     """The first document of each distinct text."""
     rows = read_table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    return flatten.first_of_each(rows, ["h"], [F.col("doc_id")]).select("doc_id")
+    return flatten.first_of_each(rows, ["h"], ["doc_id"]).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (usage_window, usage_totals, feature_scale, probe_score, probe_train, first_documents)}
