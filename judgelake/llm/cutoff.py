@@ -7,7 +7,8 @@ the last sentence end and the length to the limit is fitted on SAMPLE values of
 then scores every value. Values that the first fit takes for cut are left out of the second fit.
 
 Limits are read off the lengths of all values: a length at which LEAST_AT_LIMIT unfinished values or more stand, and
-more than PEAK times as many as at the lengths around it.
+more than PEAK times as many as at the lengths around it. A longer value without any punctuation ends as it is
+written, unless it is marked or stands at a limit. Every value is read whole.
 
 Defined results: null, empty and blank values are no cases; every place of an array counts, nulls included; repeated
 rows give one case per record id; empty tables give no rows.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from judgelake.llm.text import fold, words_of
 from judgelake.runtime import Stage
 
-#: Values of each field on which the model is fitted.
+#: Values of each field on which the model is fitted, fewer where they would have more than SAMPLE_CHARS characters.
 SAMPLE = 8000
+SAMPLE_CHARS = 40_000_000
 DIMENSIONS = 1 << 15
 THRESHOLD = 0.6
 LEAST_AT_LIMIT, PEAK = 6, 4.0
@@ -42,6 +44,7 @@ _HALF_ESCAPE = regex.compile(r"(?:&(?:#?\w{0,6})|%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]
 OPENINGS = [" (", " “", ' "', "\n\n$$\n\\frac{", " [", "\n```\n", "\n- ", " **", "\n| "]
 _ESCAPES = ["&amp;", "&quot;", "&#39;", "%E2%80%94", "%20", "\\u00e9", "\\u2019", "\\n", "<b>", "</p>"]
 _LAST_STOP = regex.compile(r"[.!?。！？](?=\s|$|[\"'”»)\]])|[。！？]")
+_PAUSE = regex.compile(r"[.,;:!?…](?=\s|$)|[。，、；：！？]|[-|*•`$]")
 _TOKEN = regex.compile(r"\p{L}+|\d+(?:[.,]\d+)*|[^\s\p{L}\d]")
 _ROW = regex.compile(r"^(\W*)(\p{L}+|\d+)?(?:\s+\p{L}+){0,2}?\s*([:=|.)-]?)")
 
@@ -77,6 +80,7 @@ class Model:
         known = "number" if kind == "9" else ("known" if word in self.known else "new") + kind if kind in ("a", "A") else "sign"
         whole_words = len(body) < 90 and len(body.split())
         unpunctuated = not any(c in body for c in ".!?。")
+        bare = not _PAUSE.search(body)  # written without any punctuation: no end can be missing
         shape = "".join(_shape(t) for t in _TOKEN.findall(line)) if len(line) < 90 else "long"
         row = _ROW.match(line)
         head = (row.group(1) + (row.group(2) or "").lower() + row.group(3)) if row else ""
@@ -96,7 +100,7 @@ class Model:
             f"limit {at_limit} {final}", f"since {n_open} {kind}", f"word {word}", f"words {' '.join(t.lower() if _shape(t) != '9' else '9' for t in tokens[-2:])}",
             f"shape {shape}", f"head {head} {final}", f"head {head} {known}", f"end {known} {n_open > 0} {unpunctuated}",
             f"suffix {word[-3:]} {kind}", f"short {whole_words and min(whole_words, 8)} {known}", f"plain {unpunctuated} {min(len(body) // 60, 5)}",
-            f"mark {bool(marked)}", f"half {bool(half)} {body[half.start()] if half else ''}", f"tail {' '.join(_shape(t) for t in tokens[-4:])}",
+            f"bare {bare} {min(len(body) // 60, 4)}", f"mark {bool(marked)}", f"half {bool(half)} {body[half.start()] if half else ''}", f"tail {' '.join(_shape(t) for t in tokens[-4:])}",
         ]
         out += [f"opened {x} {final}" for x in opened]
         return out
@@ -118,7 +122,14 @@ class Model:
             w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weights = w
 
+    def unpunctuated(self, text: str) -> bool:
+        """A text of some length written without any punctuation, neither marked nor at a limit: it ends as it is written."""
+        body = text.rstrip()
+        return len(body.split()) > 20 and not _PAUSE.search(body) and not _MARK.search(body) and not _HALF_ESCAPE.search(body) and len(body) not in self.limits
+
     def score(self, text: str) -> float:
+        if self.unpunctuated(text):
+            return 0.0
         z = float(self.weights[self.index(text)].sum())
         return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
@@ -195,8 +206,8 @@ def bank_values(bank: DataFrame, record_id: str = "record_id") -> DataFrame:
     return rows.filter(F.col("value").rlike(r"\S")).withColumn("value_pos", F.col("value_pos").cast("bigint"))
 
 
-def survey(values: DataFrame) -> tuple[dict[str, list[int]], dict[str, int]]:
-    """Limits and number of values of each field (field, value), in one pass over them.
+def survey(values: DataFrame) -> tuple[dict[str, list[int]], dict[str, tuple[int, int]]]:
+    """Limits, and numbers of values and characters, of each field (field, value), in one pass over them.
 
     A limit is a length at which unfinished values pile up; lengths count without a mark of cutting.
     """
@@ -206,7 +217,7 @@ def survey(values: DataFrame) -> tuple[dict[str, list[int]], dict[str, int]]:
     rows = values.select("field", (F.length(F.rtrim("value")) - F.length(end) + F.length(bare)).alias("length"), unfinished.alias("u"))
     lengths = rows.groupBy("field", "length").agg(F.count(F.lit(1)).alias("all"), F.count_if("u").alias("n"))
     lengths = Stage(values.sparkSession).keep(lengths)  # one row for each length that occurs
-    totals = {r["field"]: r["n"] for r in lengths.groupBy("field").agg(F.sum("all").alias("n")).collect()}
+    totals = {r["field"]: (r["n"], r["c"]) for r in lengths.groupBy("field").agg(F.sum("all").alias("n"), F.sum(F.col("all") * F.col("length")).alias("c")).collect()}
     around = lengths.filter("n > 0").select("field", "n", "length", F.explode(F.array([F.lit(k) for k in range(-4, 5)])).alias("step"))
     around = around.groupBy("field", (F.col("length") + F.col("step")).alias("length")).agg(F.sum("n").alias("sum"))
     peaks = lengths.filter(F.col("n") >= LEAST_AT_LIMIT).join(around, ["field", "length"]).filter(F.col("n") > PEAK * ((F.col("sum") - F.col("n")) / 8 + 1))
@@ -216,16 +227,17 @@ def survey(values: DataFrame) -> tuple[dict[str, list[int]], dict[str, int]]:
     return limits, totals
 
 
-def sampled(values: DataFrame, key: list[str], totals: dict[str, int], sample: int) -> dict[str, list[str]]:
+def sampled(values: DataFrame, key: list[str], totals: dict[str, tuple[int, int]], sample: int) -> dict[str, list[str]]:
     """At most sample values of each field, those first by a hash of their key; the documented bound."""
     draw = F.pmod(F.xxhash64("field", *key), F.lit(1 << 30))
     share = F.lit(0)
-    for field, n in totals.items():
-        share = F.when(F.col("field") == field, int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 30))).otherwise(share)
+    most = {field: min(sample, max(1, int(SAMPLE_CHARS * n / max(chars, 1)))) for field, (n, chars) in totals.items()}
+    for field, (n, _) in totals.items():
+        share = F.when(F.col("field") == field, int(min(1.0, 1.2 * most[field] / max(n, 1)) * (1 << 30))).otherwise(share)
     picked = values.filter(draw < share).select("field", draw.alias("draw"), *key, "value")
     out: dict[str, list[str]] = {}
-    for r in picked.orderBy("draw", *key).limit(max(1, len(totals)) * 2 * sample).collect():
-        if len(own := out.setdefault(r["field"], [])) < sample:
+    for r in picked.orderBy("draw", *key).limit(max(1, 2 * sum(most.values()))).collect():
+        if len(own := out.setdefault(r["field"], [])) < most[r["field"]]:
             own.append(r["value"])
     return out
 

@@ -10,7 +10,7 @@ truncated  a pushdown parser finds a fence, bracket, quotation, formula or escap
 
 Questions stand once beside all their answers, so that a record is one row until its defective pairs are known; no
 shuffle is needed. Defined results: a null answer is empty, a null candidate is no pair; without a question no answer is a copy or
-in another language; repeated rows give one pair per record and place; empty tables give no rows.
+in another language; long answers are read whole; repeated rows give one pair per record and place; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The items are the stated query set: they are read in blocks of a bounded number
 (its size is checked by construction) goes to the tasks, and the documents are scanned once per block in Arrow
 batches, without a shuffle of the corpus. Every document is read whole.
 
-Defined results: null, empty and wordless texts hold no passage; repeated items are found each; repeated documents
+Defined results: long texts are read whole; null, empty and wordless texts hold no passage; repeated items are found each; repeated documents
 give repeated rows once per doc_id; null ids are left out; empty tables give no rows.
 """
 

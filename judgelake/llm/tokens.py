@@ -6,7 +6,7 @@ touches only its own positions and their neighbours. Since a symbol is made by o
 it, one pass over the ranks gives exactly what merging word by word gives.
 
 Defined results: null and empty texts have an empty list; blank texts and strings that look like special tokens are
-ordinary text; repeated doc_ids give repeated rows; extra columns are ignored.
+ordinary text; long texts are encoded whole; repeated doc_ids give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
