@@ -92,9 +92,9 @@ def slug(x: Column) -> Column:
 
 
 def dialogue(messages: Column) -> Column:
-    """Bare content of a single message, else one "Role: content" paragraph each."""
+    """Bare content of a single message, else one line "Role: content" each."""
     role = lambda m: F.concat(F.upper(F.substring(m["role"], 1, 1)), F.lower(F.substring(m["role"], 2, 1000)))
-    many = F.array_join(F.transform(messages, lambda m: F.concat(role(m), F.lit(": "), m["content"])), "\n\n")
+    many = F.array_join(F.transform(messages, lambda m: F.concat(role(m), F.lit(": "), m["content"])), "\n")
     return F.when(F.size(messages) == 1, F.get(messages, F.lit(0))["content"]).otherwise(many)
 
 
@@ -121,3 +121,18 @@ def sft_lines(rubric: Column, verdicts: Column, limit: int = 140) -> Column:
         F.lit("Rule "), (i + 1).cast("string"), F.lit(": "), closed(said(r)), F.lit(" Verdict: "), F.when(F.get(verdicts, i) == 1, "Yes").otherwise("No")
     )
     return F.array_join(F.transform(rubric, line), "\n")
+
+
+def privileged(rubric: Column, reference: Column) -> Column:
+    """What a privileged reader is told: the criteria with signed weights, the reference answer, or both."""
+    weight = lambda r: F.coalesce(r["weight"], F.lit(1.0))
+    signed = lambda r: F.concat(F.when(weight(r) > 0, "+").otherwise(""), weight(r).cast("string"))
+    line = lambda r: F.concat(F.lit("  - "), F.coalesce(r["title"], F.lit("")), F.lit(": "), F.coalesce(r["description"], F.lit("")), F.lit(" (weight: "), signed(r), F.lit(")"))
+    # The two instructions.
+    told = (
+        "You should follow the given rubrics to answer the question. Positive weights indicate criteria you should satisfy."
+        " Negative weights indicate criteria you should avoid."
+    )
+    criteria = F.when(F.size(rubric) > 0, F.concat(F.lit(f"{told}\n\n"), F.array_join(F.transform(rubric, line), "\n")))
+    answer = F.when(F.coalesce(reference, F.lit("")) != "", F.concat(F.lit("You should refer to the following reference answer:\n\n"), reference))
+    return F.concat_ws("\n\n", criteria, answer)

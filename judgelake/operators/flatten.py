@@ -115,3 +115,28 @@ def regroup(parts: DataFrame) -> DataFrame:
         "record_id", "cand_pos", "parsed", F.when(F.col("n") > 0, made).alias("vector"),
         F.array_join(F.filter(F.col("g")["text"], lambda t: t.isNotNull()), "\n\n").alias("raw_text"),
     )
+
+
+def wide_items(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Criterion rows put back to one row per sample: labels in the rules' order and the sum of weights met."""
+    rows = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rule_index", "label", "weight"))).alias("xs"))
+    met = F.aggregate("xs", F.lit(0.0), lambda s, x: s + x["label"] * F.abs(x["weight"]))
+    return rows.select(*keys, F.col("xs")["label"].alias("labels"), met.alias("met"))
+
+
+def tagged_rubric(rubric: Column, prefix: str = "axis:") -> Column:
+    """Criteria of the form criterion, points, tags as title, description, weight; the title is the first tagged axis."""
+    axis = lambda r: F.try_element_at(F.filter(r["tags"], lambda t: t.startswith(prefix)), F.lit(1))
+    title = lambda r: F.coalesce(F.substring(axis(r), len(prefix) + 1, 1000), F.lit("criterion"))
+    return F.transform(rubric, lambda r: F.struct(title(r).alias("title"), r["criterion"].alias("description"), F.coalesce(r["points"], F.lit(1)).cast("double").alias("weight")))
+
+
+def spec_coverage(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """Each way of answering with the candidates that bear its id and those of them whose settings differ from it."""
+    name = lambda c: F.lower(F.trim(c))
+    told = specs.select(name("candidate_id").alias("k"), "candidate_id", "model_name", "generation_mode", "temperature", "top_p")
+    same = F.lit(True)
+    for c in ("model_name", "generation_mode", "temperature", "top_p"):
+        same &= F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}"))
+    met = rows.select(name("c.candidate_id").alias("k"), "c").join(told.alias("s"), "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("different"))
+    return told.join(met, "k", "left").select("candidate_id", F.coalesce("n", F.lit(0)).alias("candidates"), F.coalesce("different", F.lit(0)).alias("different"))

@@ -211,6 +211,19 @@ def rl_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def wide_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = flatten.wide_items(flatten.bank_items(_bank(spark, d)), ["record_id", "candidate_id"])
+    return rows.select("record_id", "candidate_id", X.verdict_letters(F.col("labels")).alias("labels"), six(F.col("met")).alias("met"))
+
+
+def privileged_text(spark: SparkSession, d: str) -> DataFrame:
+    return _bank(spark, d).select("record_id", X.privileged(F.col("rubric"), F.col("reference_answer")).alias("text"))
+
+
+def spec_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.spec_coverage(flatten.candidates(_bank(spark, d)), read_table(spark, d, "candidate_specs"))
+
+
 def split_fraction(spark: SparkSession, d: str) -> DataFrame:
     return splitting.fraction_split(_bank(spark, d), "question_id", {"train": 0.4, "dev": 0.1, "test": 0.5})
 
@@ -249,7 +262,7 @@ QUERIES = {
     for f in (
         keyed_candidates, bank_items, rubric_groups, regrouped, weighted_score, reward_results, alignment, candidate_text_profile, score_summary, run_summary,
         format_criterion, criterion_listing, question_ids, multiturn_text, boxed_scores, judge_text_sources, violations, split_overlap, confusion_at_threshold,
-        threshold_sweep, best_threshold, calibration_error, losses, platt_fit, logprob_probability, fallback_verdicts, rl_rows, split_fraction, split_counts,
+        threshold_sweep, best_threshold, calibration_error, losses, platt_fit, logprob_probability, fallback_verdicts, rl_rows, wide_items, privileged_text, spec_coverage, split_fraction, split_counts,
         split_ratio, split_nested, split_sets, split_manifest,
     )
 }
@@ -263,6 +276,7 @@ _WS = lambda s, w: f"""(CASE WHEN coalesce(list_sum(list_transform(range(1, leas
     list_sum(list_transform(range(1, least(len({s}), len({w})) + 1), lambda i: coalesce({s}[i], 0.0) * abs(coalesce({w}[i], 1.0)))) / list_sum(list_transform(range(1, least(len({s}), len({w})) + 1), lambda i: abs(coalesce({w}[i], 1.0)))) END)"""
 _ORDER = "o AS (SELECT question_id, row_number() OVER (ORDER BY sha256('42:' || question_id), question_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT question_id FROM response_bank WHERE question_id IS NOT NULL))"
 _R = lambda a, b: f"(CASE WHEN {b} = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / {b} END)"
+_STRICT = "(?i)^Rule\\s*(\\d+)\\s*:\\s*.*?\\bVerdict\\s*:\\s*(Yes|No|Y|N)$"
 _KIND = "CASE WHEN t LIKE '%essential%' THEN 'essential' WHEN t LIKE '%important%' THEN 'important' WHEN t LIKE '%optional%' THEN 'optional' WHEN t LIKE '%pitfall%' THEN 'pitfall' END"
 
 
@@ -302,6 +316,15 @@ ORACLE = {
           ('rule_positive_accuracy', _R('pos_same', 'pos')), ('rule_penalty_accuracy', _R('pen_same', 'pen')), ('rule_weighted_accuracy_abs', _R('wt_same', 'wt')), ('score_exact_match_rate', _R('ss', 'kk')), ('score_mae', _R('ad', 'kk')),
           ('score_rmse', f"sqrt({_R('sd', 'kk')})"), ('score_mean_error_bias', _R('sg', 'kk')), ('score_within_0p05_rate', _R('w05', 'kk')), ('score_within_0p10_rate', _R('w10', 'kk')), ('score_pearson', 'rho'), ('reference_mean_score', _R('rsum', 'kk')), ('candidate_mean_score', _R('csum', 'kk'))))}
         FROM g WHERE n >= 5 OR overall = 1""",
+    "regrouped": f"""WITH {_C}, g AS (SELECT record_id, cand_pos, len(rubric) AS n, unnest(c.reward_result.raw_judge_responses_by_group) AS g FROM c),
+        h AS (SELECT *, row_number() OVER () AS id FROM g WHERE g IS NOT NULL AND n > 0),
+        l AS (SELECT id, list_filter(list_transform(string_split_regex(coalesce(g.raw_judge_response, ''), '[\n\r]'), lambda s: trim(s, ' ' || chr(9))), lambda s: s <> '') AS ls FROM h),
+        l2 AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM l),
+        v AS (SELECT id, list(CASE WHEN lower(regexp_extract(line, '{_STRICT}', 2)) IN ('yes', 'y') THEN 1 ELSE 0 END ORDER BY ln) AS vs FROM l2 WHERE regexp_matches(line, '{_STRICT}') GROUP BY 1),
+        p AS (SELECT record_id, cand_pos, n, CAST(g.group_start AS INT) AS st, coalesce(vs, []) AS vs, coalesce(len(coalesce(vs, [])) = g.group_end - g.group_start, false) AS ok, g.raw_judge_response AS t FROM h LEFT JOIN v USING (id)),
+        a AS (SELECT record_id, cand_pos, max(n) AS n, bool_and(ok) AS parsed, list({{'s': st, 'v': vs}} ORDER BY st, vs) AS gs, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY st), '') AS t FROM p GROUP BY 1, 2)
+        SELECT record_id, cand_pos, parsed, array_to_string(list_transform(range(0, n), lambda i: CASE WHEN (list_filter(gs, lambda q: q.s <= i AND i < q.s + len(q.v))[-1]).v[i - (list_filter(gs, lambda q: q.s <= i AND i < q.s + len(q.v))[-1]).s + 1] = 1 THEN 'Y' ELSE 'N' END), '') AS vector,
+          length(t) AS chars FROM a""",
     "violations": f"""WITH {_C}, r AS (SELECT c.reward_result AS r FROM c WHERE c.reward_result IS NOT NULL), s AS (SELECT r, r.criterion_scores AS s, r.criterion_weights AS w, r.criterion_parse_ok AS o, r.score AS sc FROM r),
         i AS (SELECT question_id AS k, count(*) AS m FROM response_bank GROUP BY 1),
         a AS (SELECT 'vector_length' AS "check" FROM s WHERE len(s) <> len(w) OR len(s) <> len(o) UNION ALL SELECT 'label_not_binary' FROM s WHERE len(list_filter(s, lambda x: x <> 0 AND x <> 1)) > 0
@@ -314,6 +337,16 @@ ORACLE = {
     "bank_items": f"""WITH {_K}, u AS (SELECT record_id, candidate_id, rubric, c.reward_result.criterion_scores AS s, unnest(range(1, len(rubric) + 1)) AS i FROM k
         WHERE coalesce(c.reward_result.num_parse_failures, 0) = 0 AND len(c.reward_result.criterion_scores) = len(rubric) AND len(rubric) > 0 AND len(list_filter(c.reward_result.criterion_scores, lambda x: x IS NULL)) = 0)
         SELECT record_id, candidate_id, i - 1 AS rule_index, rubric[i].title AS title, coalesce(rubric[i].weight, 1.0) AS weight, CAST(CASE WHEN s[i] >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS label FROM u""",
+    "wide_items": f"""WITH {_K}, u AS (SELECT record_id, candidate_id, rubric, list_transform(c.reward_result.criterion_scores, lambda x: CASE WHEN x >= 0.5 THEN 1 ELSE 0 END) AS s FROM k
+        WHERE coalesce(c.reward_result.num_parse_failures, 0) = 0 AND len(c.reward_result.criterion_scores) = len(rubric) AND len(rubric) > 0 AND len(list_filter(c.reward_result.criterion_scores, lambda x: x IS NULL)) = 0)
+        SELECT record_id, candidate_id, array_to_string(list_transform(s, lambda v: CASE WHEN v = 1 THEN 'Y' ELSE 'N' END), '') AS labels,
+          round(list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i] * abs(coalesce(rubric[i].weight, 1.0)))), 6) AS met FROM u""",
+    "privileged_text": """SELECT record_id, concat_ws(chr(10) || chr(10), CASE WHEN len(rubric) > 0 THEN 'You should follow the given rubrics to answer the question. Positive weights indicate criteria you should satisfy. Negative weights indicate criteria you should avoid.'
+          || chr(10) || chr(10) || array_to_string(list_transform(rubric, lambda r: '  - ' || coalesce(r.title, '') || ': ' || coalesce(r.description, '') || ' (weight: ' || CASE WHEN coalesce(r.weight, 1.0) > 0 THEN '+' ELSE '' END || CAST(coalesce(r.weight, CAST(1.0 AS DOUBLE)) AS VARCHAR) || ')'), chr(10)) END,
+        CASE WHEN coalesce(reference_answer, '') <> '' THEN 'You should refer to the following reference answer:' || chr(10) || chr(10) || reference_answer END) AS text FROM response_bank""",
+    "spec_coverage": f"""WITH {_C}, m AS (SELECT lower(trim(c.candidate_id)) AS k, c FROM c)
+        SELECT s.candidate_id, count(m.k) AS candidates, count(*) FILTER (m.k IS NOT NULL AND (m.c.model_name IS DISTINCT FROM s.model_name OR m.c.generation_mode IS DISTINCT FROM s.generation_mode
+          OR m.c.temperature IS DISTINCT FROM s.temperature OR m.c.top_p IS DISTINCT FROM s.top_p)) AS different FROM candidate_specs s LEFT JOIN m ON m.k = lower(trim(s.candidate_id)) GROUP BY 1""",
     "rubric_groups": """SELECT record_id, g AS group_index, 3 * g AS group_start, least(3 * g + 3, n) AS group_end, least(3 * g + 3, n) - 3 * g AS rules FROM
         (SELECT record_id, len(rubric) AS n, unnest(range(0, (len(rubric) + 2) // 3)) AS g FROM response_bank WHERE len(rubric) > 0)""",
     "weighted_score": f"WITH {_C} SELECT record_id, cand_pos, round({_WS('s', 'w')}, 6) AS score FROM (SELECT *, c.reward_result.criterion_scores AS s, c.reward_result.criterion_weights AS w FROM c WHERE c.reward_result IS NOT NULL)",
@@ -333,8 +366,8 @@ ORACLE = {
           CASE WHEN length(d1) <= 40 THEN d1 ELSE rtrim(substr(d1, 1, 37)) || '...' END AS short, regexp_replace(regexp_replace(lower(ti), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM w""",
     "criterion_listing": """SELECT record_id, array_to_string(list_transform(range(1, len(rubric) + 1), lambda i: i || '. ' || concat_ws(': ', nullif(trim(rubric[i].title), ''), nullif(trim(rubric[i].description), ''))), chr(10)) AS listing FROM response_bank WHERE len(rubric) > 0""",
     "question_ids": "SELECT record_id, 'q_' || substr(sha1(question), 1, 16) AS key FROM response_bank",
-    "multiturn_text": """SELECT record_id, CASE WHEN len(prompt) = 1 THEN prompt[1].content ELSE array_to_string(list_transform(prompt, lambda m: upper(substr(m.role, 1, 1)) || lower(substr(m.role, 2)) || ': ' || m.content), chr(10) || chr(10)) END AS prompt,
-        array_to_string(list_append(list_transform(prompt, lambda m: upper(substr(m.role, 1, 1)) || lower(substr(m.role, 2)) || ': ' || m.content), 'Assistant: ' || coalesce(reference_answer, '')), chr(10) || chr(10)) AS with_answer FROM response_bank WHERE len(prompt) > 0""",
+    "multiturn_text": """SELECT record_id, CASE WHEN len(prompt) = 1 THEN prompt[1].content ELSE array_to_string(list_transform(prompt, lambda m: upper(substr(m.role, 1, 1)) || lower(substr(m.role, 2)) || ': ' || m.content), chr(10)) END AS prompt,
+        array_to_string(list_append(list_transform(prompt, lambda m: upper(substr(m.role, 1, 1)) || lower(substr(m.role, 2)) || ': ' || m.content), 'Assistant: ' || coalesce(reference_answer, '')), chr(10)) AS with_answer FROM response_bank WHERE len(prompt) > 0""",
     "boxed_scores": f"""WITH {_C}, u AS (SELECT record_id, cand_pos, c.response AS t, regexp_extract_all(c.response, '\\\\boxed\\{{\\s*([^{{}}]*?)\\s*\\}}', 1)[-1] AS b FROM c WHERE contains(c.response, 'boxed{{'))
         SELECT record_id, cand_pos, b AS boxed, round((greatest(1.0, least(10.0, coalesce(TRY_CAST(b AS DOUBLE), list_filter(list_transform(regexp_extract_all(t, '(\\d+(?:\\.\\d+)?)', 1), lambda s: TRY_CAST(s AS DOUBLE)), lambda x: x >= 1 AND x <= 10)[1]))) - 1) / 9, 6) AS likert FROM u""",
     "split_overlap": """SELECT id AS key, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM (SELECT trim(question_id, ' ') AS id, lower(trim(split_role, ' ')) AS split FROM response_bank)

@@ -58,6 +58,13 @@ def verdict_parse_strict(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("model", "sample_id", F.col("raw_output").isNull().alias("no_output"), X.verdict_letters(made).alias("verdicts"))
 
 
+def verdict_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs whose lines name the rules one after the other."""
+    rows = read_table(spark, d, "predictions")
+    made = parse.sequential(F.col("raw_output"), F.col("num_rules").cast("int"))
+    return rows.select("model", "sample_id", F.col("raw_output").isNull().alias("no_output"), X.verdict_letters(made).alias("verdicts"))
+
+
 def prediction_rows(spark: SparkSession, d: str) -> DataFrame:
     """Prediction rows made anew from the raw output: total, matches and exactness; unread outputs have no total."""
     rows = _rows(spark, d).withColumn("weights", F.expr("array(3, 3, 1, 1, 1, 1)")).filter(F.size("gold") == 6)
@@ -155,7 +162,7 @@ def semi_anti_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metric_suite, metric_suite_full_policy, pairwise_order, top_bottom_sets, average_rank, rule_type_accuracy, verdict_parse_strict, prediction_rows,
+        metric_suite, metric_suite_full_policy, pairwise_order, top_bottom_sets, average_rank, rule_type_accuracy, verdict_parse_strict, verdict_sequences, prediction_rows,
         parse_failure_reasons, top_failure_reasons, vector_letters, first_lines, audit_agreement, audit_pairwise, judge_ranking, dedup_predictions, semi_anti_ids,
     )
 }
@@ -163,7 +170,7 @@ QUERIES = {
 _P = """p AS (SELECT *, CASE WHEN trim(gold_verdicts) <> '' THEN CAST(gold_verdicts AS INT[]) END AS gold, CASE WHEN trim(pred_verdicts) <> '' THEN CAST(pred_verdicts AS INT[]) END AS pred,
         coalesce(parse_ok, false) AS ok, CAST(pred_total_score AS DOUBLE) - gold_total_score AS d FROM predictions)"""
 _PAIRS = """
-    k AS (SELECT model, question_id, answer_id, gold_total_score AS g, pred_total_score AS q, row_number() OVER () AS i FROM p WHERE ok),
+    k AS MATERIALIZED (SELECT model, question_id, answer_id, gold_total_score AS g, pred_total_score AS q, row_number() OVER () AS i FROM p WHERE ok),
     pr AS (SELECT a.model, a.question_id, count(*) AS pairs, CAST(sum(CASE WHEN sign(a.g - b.g) = sign(a.q - b.q) THEN 1 ELSE 0 END) AS BIGINT) AS rights
            FROM k a JOIN k b ON a.model = b.model AND a.question_id = b.question_id AND a.i < b.i GROUP BY 1, 2),
     m AS (SELECT model, question_id, max(g) AS g1, max(q) AS q1, min(g) AS g0, min(q) AS q0, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -217,14 +224,13 @@ def _suite() -> str:
     FROM x LEFT JOIN sp USING (model) LEFT JOIN o USING (model)"""
 
 
-_LINES = """l AS (SELECT model, sample_id, id, num_rules, raw_output, unnest(list_filter(list_transform(string_split_regex(coalesce(raw_output, ''), '[\\n\\r]'), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '')) AS line
-        FROM (SELECT *, row_number() OVER () AS id FROM predictions)),
-    l2 AS (SELECT *, row_number() OVER (PARTITION BY id) AS ln FROM l),
+_LINES = """base AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM predictions),
+    l AS (SELECT id, list_filter(list_transform(string_split_regex(coalesce(raw_output, ''), '[\\n\\r]'), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '') AS ls FROM base),
+    l2 AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM l),
     hit AS (SELECT id, ln, TRY_CAST(regexp_extract(line, '(?i)^Rule\\s*(\\d+)\\s*:\\s*.*?\\bVerdict\\s*:\\s*(Yes|No|Y|N)$', 1) AS INT) AS rule,
               CASE WHEN lower(regexp_extract(line, '(?i)^Rule\\s*(\\d+)\\s*:\\s*.*?\\bVerdict\\s*:\\s*(Yes|No|Y|N)$', 2)) IN ('yes', 'y') THEN 1 ELSE 0 END AS v FROM l2),
     lastv AS (SELECT id, rule, arg_max(v, ln) AS v FROM hit WHERE rule IS NOT NULL GROUP BY 1, 2),
     vec AS (SELECT id, count(*) AS n, min(rule) AS lo, max(rule) AS hi, list(v ORDER BY rule) AS vs FROM lastv GROUP BY 1),
-    base AS (SELECT *, row_number() OVER () AS id FROM predictions),
     made AS (SELECT base.*, CASE WHEN vec.n = base.num_rules AND lo = 1 AND hi = base.num_rules THEN vs END AS vs FROM base LEFT JOIN vec USING (id))"""
 
 _S = "(?i)^Rule\\s*(\\d+)\\s*:\\s*.*?\\bVerdict\\s*:\\s*(Yes|No|Y|N)$"

@@ -67,3 +67,8 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {(r["start"], r["calls"], r["prompt_tokens"]) for r in usage.windowed(log).collect()}
     stream = {(r["start"], r["calls"], r["prompt_tokens"]) for r in spark.sql("select * from usage_test").collect()}
     assert stream and stream <= batch and sum(x[1] for x in batch) == 12
+
+
+def test_tagged_rubric(spark):
+    df = spark.sql("select array(named_struct('criterion', 'c', 'points', 2, 'tags', array('x', 'axis:depth')), named_struct('criterion', 'd', 'points', null, 'tags', null)) as r")
+    assert [tuple(x) for x in df.select(flatten.tagged_rubric(F.col("r"))).first()[0]] == [("depth", "c", 2.0), ("criterion", "d", 1.0)]

@@ -49,8 +49,8 @@ def test_failures(spark):
 
 
 def test_sequence(spark):
-    df = spark.createDataFrame([("Rule 1: Verdict: yes\nRule 2: Verdict: no",), ("Rule 2: Verdict: yes\nRule 1: Verdict: no",)], "t string")
-    assert [r[0] for r in df.select(parse.sequential(F.col("t"), F.lit(2))).collect()] == [[1, 0], None]
+    df = spark.createDataFrame([("Rule 1: Verdict: yes\nRule 2: Verdict: no",), ("Rule 2: Verdict: yes\nRule 1: Verdict: no",), ("Rule 1: yes\nso\nRule 1: no\nRule 2) yes, it is\nRule 1: no",), ("Rule 1: yes\nso\nRule 2: no",), (None,)], "t string")
+    assert [r[0] for r in df.select(parse.sequential(F.col("t"), F.lit(2))).collect()] == [[1, 0], None, [0, 1], None, None]
 
 
 def test_texts(spark):
@@ -58,4 +58,4 @@ def test_texts(spark):
         X.collapsed(F.col("x")), X.shortened(F.col("y"), 6), X.shortened(F.col("y"), 3), X.dialogue(F.col("m")), X.slug(F.col("s")), X.rough_tokens(F.col("x")), X.after_last(F.lit("a ## b ## c "), "##"),
         X.unfenced(F.lit("```json\n{}\n```")), X.first_line(F.lit(" \n\n one \n two")),
     ).first()
-    assert list(row) == ["a b", "abc...", "abc", "User: hi\n\nBot: yo", "mlaut_co", 2, "c", "{}", "one"]
+    assert list(row) == ["a b", "abc...", "abc", "User: hi\nBot: yo", "mlaut_co", 2, "c", "{}", "one"]
