@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,17 @@ from judgelake.llm.text import fold, slip, words_of
 
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 SEED = 4
+SPAN = max(mask[-1] for mask in MASKS) + 1
 #: A seed of more than this share of the items' texts, and of more than STOCK_LEAST texts, is stock.
 STOCK_SHARE, STOCK_LEAST = 0.02, 4
 #: A passage has at least so many matched words of at least this weight together; a word of one item only weighs 1.
 LEAST_WORDS, LEAST_WEIGHT = 8, 3.5
+#: Weight that the words of an item's seeds in a document must have before they are chained.
+LEAST_SEEDED = 1.5
 #: Words of items whose seeds go to the tasks at once.
 BLOCK_WORDS = 400_000
+#: Documents whose seeds are looked up at once.
+TOGETHER = 100
 #: Words of a document, and of an item, that may lie between two hits of one passage.
 GAP_DOCUMENT, GAP_ITEM = 14, 5
 
@@ -115,33 +120,53 @@ class SeedTable:
             return np.array([number[w] for w in words], dtype=np.uint64)
         return np.array([number.get(w, 0) for w in words], dtype=np.uint64)
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(owner, document place, item place, mask pair as the two masks' offsets) of each seed met."""
+    def hits(self, documents: list[list[str]]) -> tuple[np.ndarray, ...]:
+        """(document, owner, document place, item place, masks) of every seed met, for many documents at once."""
+        sizes = np.array([len(w) for w in documents], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + SPAN)])[:-1]
+        ids = np.zeros(int((sizes + SPAN).sum()), dtype=np.uint64)  # words that no item has, and the gaps, are 0
+        for start, words in zip(starts, documents, strict=True):
+            ids[start : start + len(words)] = self.ids(words)
+        found: list[list[np.ndarray]] = []
         for d, mask in enumerate(MASKS):
             h = seed_hashes(ids, mask)
-            if not len(h):
-                continue
             near = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            if not len(near):
-                continue
             low = np.searchsorted(self.hashes, h[near], "left")
-            high = np.searchsorted(self.hashes, h[near], "right")
-            for i in np.flatnonzero(high > low):
-                for k in range(low[i], high[i]):
-                    yield int(self.owner[k]), int(near[i]), int(self.place[k]) // len(MASKS), d * len(MASKS) + int(self.place[k]) % len(MASKS)
-
-    def passages(self, words: list[str]) -> dict[int, tuple[float, int]]:
-        """Best passage of each item text in a document: weight and number of matched words."""
-        matched: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for owner, at, place, masks in self.hits(self.ids(words)):
-            for x, y in zip(MASKS[masks // len(MASKS)], MASKS[masks % len(MASKS)], strict=True):
-                matched[owner].add((at + x, place + y))
-        found = {}
-        for owner, pairs in matched.items():
-            best = self.chain(words, self.words[owner], self.weights[owner], pairs)
+            times = np.searchsorted(self.hashes, h[near], "right") - low
+            at = np.repeat(near, times)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            document = np.searchsorted(starts, at, "right") - 1
+            place = self.place[k]
+            found.append([document, self.owner[k].astype(np.int64), at - starts[document], place // len(MASKS), d * len(MASKS) + place % len(MASKS)])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def passages(self, documents: list[list[str]]) -> list[dict[int, tuple[float, int]]]:
+        """For each document the best passage of each item text: weight and number of matched words."""
+        out: list[dict[int, tuple[float, int]]] = [{} for _ in documents]
+        if not documents or not len(self.hashes):
+            return out
+        document, owner, at, place, masks = self.hits(documents)
+        key = document * len(self.items) + owner
+        order = np.argsort(key, kind="stable")
+        ends = np.flatnonzero(np.diff(key[order], append=-1)) + 1
+        start = 0
+        for end in ends.tolist():
+            group, start = order[start:end], end
+            if len(group) < 2:
+                continue  # one seed: no passage could grow from it
+            first = group[0]
+            n, o = int(document[first]), int(owner[first])
+            pairs = set()
+            for a, p, m in zip(at[group].tolist(), place[group].tolist(), masks[group].tolist(), strict=True):
+                for x, y in zip(MASKS[m // len(MASKS)], MASKS[m % len(MASKS)], strict=True):
+                    pairs.add((a + x, p + y))
+            weights = self.weights[o]
+            if len(pairs) <= SEED or sum(weights[i] for _, i in pairs) < LEAST_SEEDED:
+                continue  # common words only
+            best = self.chain(documents[n], self.words[o], weights, pairs)
             if best[1]:
-                found[owner] = best
-        return found
+                out[n][o] = best
+        return out
 
     def chain(self, words: list[str], item: list[str], weights: list[float], pairs: set[tuple[int, int]]) -> tuple[float, int]:
         """Heaviest chain of matched words that run forward in both texts with short gaps.
@@ -265,13 +290,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
             table = shared.value
             for batch in batches:
                 rows = []
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    best: dict[int, tuple[float, int]] = {}
-                    for owner, (weight, count) in table.passages(passage_words(body)).items():
-                        if weight >= least_weight and count >= least_words:
-                            item = table.items[owner][0]
-                            best[item] = max(best.get(item, (0.0, 0)), (weight, count))
-                    rows += [(doc, item, w, c) for item, (w, c) in best.items()]
+                names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for start in range(0, len(names), TOGETHER):
+                    documents = [passage_words(t) for t in bodies[start : start + TOGETHER]]
+                    for doc, found in zip(names[start:], table.passages(documents), strict=False):
+                        best: dict[int, tuple[float, int]] = {}
+                        for owner, (weight, count) in found.items():
+                            if weight >= least_weight and count >= least_words:
+                                item = table.items[owner][0]
+                                best[item] = max(best.get(item, (0.0, 0)), (weight, count))
+                        rows += [(doc, item, w, c) for item, (w, c) in best.items()]
                 cols = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)],
