@@ -59,8 +59,8 @@ def reward_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Judged scores against the verdicts that the judge's probabilities give."""
+def alignment_by_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Judged scores against the verdicts that the judge's probabilities give, overall and for every candidate id."""
     rows = flatten.keyed_candidates(_bank(spark, d)).filter("c.reward_result is not null")
     r = F.col("c.reward_result")
     key = ["record_id", F.lower(F.trim("candidate_id")).alias("candidate_id")]
@@ -69,8 +69,12 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
     candidate = probs.select(*key, r["criterion_yes_probs"].alias("scores"), r["criterion_weights"].alias("weights"), F.lit(0).cast("bigint").alias("failures"),
                              score.weighted_score(r["criterion_yes_probs"], r["criterion_weights"]).alias("score"))
     first = lambda df: df.groupBy("record_id", "candidate_id").agg(*[F.min_by(c, F.coalesce("score", F.lit(-1.0))).alias(c) for c in ("scores", "weights", "failures", "score")])
-    known = align.alignment(align.shared_pairs(first(reference), first(candidate)))
-    return known.filter("samples_total >= 5 or overall = 1")
+    return align.alignment(align.shared_pairs(first(reference), first(candidate)))
+
+
+def alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of alignment_by_candidate that its SQL gives: candidate ids with at least 5 samples."""
+    return alignment_by_candidate(spark, d).filter("samples_total >= 5 or overall = 1")
 
 
 def candidate_text_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +264,7 @@ def split_manifest(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        keyed_candidates, bank_items, rubric_groups, regrouped, weighted_score, reward_results, alignment, candidate_text_profile, score_summary, run_summary,
+        keyed_candidates, bank_items, rubric_groups, regrouped, weighted_score, reward_results, alignment, alignment_by_candidate, candidate_text_profile, score_summary, run_summary,
         format_criterion, criterion_listing, question_ids, multiturn_text, boxed_scores, judge_text_sources, violations, split_overlap, confusion_at_threshold,
         threshold_sweep, best_threshold, calibration_error, losses, platt_fit, logprob_probability, fallback_verdicts, rl_rows, wide_items, privileged_text, spec_coverage, split_fraction, split_counts,
         split_ratio, split_nested, split_sets, split_manifest,

@@ -1,0 +1,23 @@
+"""Alignment of every candidate id against the SQL of alignment without its least number of samples."""
+
+from pathlib import Path
+
+import pytest
+
+from judgelake.plans import registry
+
+DATA = Path("/root/testdata/sf0.001")
+LEAST = "WHERE n >= 5 OR overall = 1"
+duckdb = pytest.importorskip("duckdb")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
+
+
+def test_every_candidate_id(spark):
+    df = registry.QUERIES["alignment_by_candidate"](spark, str(DATA))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW response_bank AS SELECT * FROM '{DATA}/response_bank.parquet'")
+    assert registry.ORACLE["alignment"].endswith(LEAST)
+    told = c.execute(registry.ORACLE["alignment"].removesuffix(LEAST))
+    got = df.select(*[d[0] for d in told.description]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(told.fetchall(), key=repr)
+    assert any(r["samples_total"] < 5 for r in got)
