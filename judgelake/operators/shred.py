@@ -76,6 +76,8 @@ CANDIDATE_FIELDS = frozenset(
     ["candidate_id", "model_name", "model_path", "generation_mode", "temperature", "top_p", "response", "score",
      "num_parse_failures", "reward_result", "criterion_scores"]
 )
+#: Lists of a reward_result that hold one element for each criterion.
+CRITERION_LISTS = ("criterion_scores", "criterion_weights", "criterion_parse_ok", "criterion_yes_probs")
 #: Marks around a line that don't count.
 AROUND = " \t\r\n\v\f   \u0085﻿"
 
@@ -134,7 +136,7 @@ def _candidates(value: object) -> list[tuple[str | None, object]]:
 
 
 def _scores(value: object) -> list[object]:
-    """Elements of criterion_scores in whatever shape; one kept alone is one element, a null none."""
+    """Elements of one of CRITERION_LISTS in whatever shape; one kept alone is one element, a null none."""
     value = _unwrap(value)
     if value is None:
         return []
@@ -178,23 +180,23 @@ def shred_line(line: str | None) -> list[tuple]:
         if key is not None and "candidate_id" not in candidate:
             out.append((f"{node}.candidate_id", node, "candidate_id", 0, "scalar", key))
         for label, value in candidate.items():
-            if label not in ("reward_result", "criterion_scores"):
+            if label != "reward_result" and label not in CRITERION_LISTS:
                 add(node, label, value)
         result = _unwrap(candidate.get("reward_result"))
         if isinstance(result, list):  # one result in a list, or several that follow each other
             result = {k: v for part in _flat(result) if isinstance(part, dict) for k, v in part.items()}
         if not isinstance(result, dict):
             result = {"score": result} if isinstance(result, int | float) else {}
-        if "criterion_scores" in candidate and "criterion_scores" not in result:
-            result = result | {"criterion_scores": candidate["criterion_scores"]}
+        result = {k: candidate[k] for k in CRITERION_LISTS if k in candidate} | result
         if result:
             inner = f"{node}.reward_result"
             out.append((inner, node, "reward_result", 0, "object", None))
             for label, value in result.items():
-                if label != "criterion_scores":
+                if label not in CRITERION_LISTS:
                     add(inner, label, value)
-            for j, score in enumerate(_scores(result.get("criterion_scores"))):
-                out.append((f"{inner}.criterion_scores[{j}]", inner, "criterion_scores", j, _kind(score), _text(score)))
+            for label in CRITERION_LISTS:
+                for j, x in enumerate(_scores(result.get(label))):
+                    out.append((f"{inner}.{label}[{j}]", inner, label, j, _kind(x), _text(x)))
     return out
 
 
@@ -268,3 +270,115 @@ def nodes_found(tables: dict[str, DataFrame]) -> DataFrame:
         .unionByName(tables["candidates"].select(*keys, F.col("cand_pos").cast("bigint"), none.alias("crit_pos")))
         .unionByName(tables["criteria"].select(*keys, F.col("cand_pos").cast("bigint"), F.col("crit_pos").cast("bigint")))
     )
+
+
+#: Scalar fields of the flat tables. A reward_result's own have result_ before their name there.
+RECORD_FIELDS = {
+    "question_id": "string", "split_role": "string", "data_source": "string", "question": "string", "reference_answer": "string", "ingested_at": "timestamp",
+}
+CANDIDATE_SCALARS = {
+    "candidate_id": "string", "model_name": "string", "model_path": "string", "generation_mode": "string", "temperature": "double", "top_p": "double",
+    "response": "string", "score": "double", "num_parse_failures": "bigint",
+}
+RESULT_SCALARS = {
+    "score": "double", "binary_score": "double", "num_parse_failures": "bigint", "raw_num_parse_failures": "bigint", "raw_parse_success": "boolean",
+    "fallback_used": "boolean", "judge_attempts": "bigint", "parse_source": "string", "raw_judge_response": "string",
+}
+CRITERION_FIELDS = {"criterion_score": "double", "criterion_weight": "double", "criterion_parse_ok": "boolean", "criterion_yes_prob": "double"}
+_KEYS = {"origin": "string", "record_id": "bigint", "node": "string", "parent": "string"}
+_RESULT_FIELDS = {"result_node": "string"} | {f"result_{f}": t for f, t in RESULT_SCALARS.items()}
+#: Columns of each flat table. node and parent are those of the adjacency table, but a criterion's parent is its
+#: candidate; the node of a criterion for which criterion_scores has no element is null.
+FLAT = {
+    "records": _KEYS | {"kind": "string"} | RECORD_FIELDS,
+    "candidates": _KEYS | {"cand_pos": "bigint", "kind": "string"} | CANDIDATE_SCALARS | _RESULT_FIELDS,
+    "criteria": _KEYS | {"cand_pos": "bigint", "crit_pos": "bigint", "kind": "string"} | CRITERION_FIELDS,
+}
+
+
+def flat_columns(bank: DataFrame, record_id: str, origin: str, table: str) -> DataFrame:
+    """One of the FLAT tables of typed nested columns; rows come from their own record, without a shuffle."""
+    keys = [F.lit(origin).alias("origin"), F.col(record_id).cast("bigint").alias("record_id")]
+    if table == "records":
+        return bank.select(*keys, F.lit(ROOT).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("object").alias("kind"), *RECORD_FIELDS)
+    rows = bank.select(*keys, F.posexplode("candidates").alias("i", "c"))
+    node, r = F.concat(F.lit(f"{ROOT}.candidates["), F.col("i").cast("string"), F.lit("]")), F.col("c.reward_result")
+    inner = F.concat(node, F.lit(".reward_result"))
+    place = F.col("i").cast("bigint").alias("cand_pos")
+    if table == "candidates":
+        return rows.select(
+            "origin", "record_id", node.alias("node"), F.lit(ROOT).alias("parent"), place, F.when(F.col("c").isNull(), "null").otherwise("object").alias("kind"),
+            *[F.col(f"c.{f}") for f in CANDIDATE_SCALARS], F.when(r.isNotNull(), inner).alias("result_node"), *[r[f].alias(f"result_{f}") for f in RESULT_SCALARS],
+        )
+    length = lambda f: F.coalesce(F.array_size(r[f]), F.lit(0))
+    decided = rows.select(*rows.columns, length(CRITERION_LISTS[0]).alias("scores"), F.greatest(*map(length, CRITERION_LISTS)).alias("most")).filter("most > 0")
+    decided = decided.select(*decided.columns, F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("j"))
+    scored, value = F.col("j") < F.col("scores"), lambda f: F.get(r[f], F.col("j"))
+    return decided.select(
+        "origin", "record_id", F.when(scored, F.concat(inner, F.lit(".criterion_scores["), F.col("j").cast("string"), F.lit("]"))).alias("node"), node.alias("parent"),
+        place, F.col("j").cast("bigint").alias("crit_pos"), F.when(scored, F.when(value(CRITERION_LISTS[0]).isNull(), "null").otherwise("scalar")).alias("kind"),
+        *[value(f).alias(name) for f, name in zip(CRITERION_LISTS, CRITERION_FIELDS, strict=True)],
+    )
+
+
+def flat_line(line: str | None, table: str) -> list[dict[str, object]]:
+    """Rows of one of the FLAT tables of one JSON line, without origin and record_id, scalars as text.
+
+    A scalar field kept as a list has its first element.
+    """
+    nodes = shred_line(line)
+    own: dict[str, dict[str, object]] = {}  # nodes of the table and those that give columns to them
+    criteria: dict[tuple[str, int], dict[str, object]] = {}
+    for node, parent, label, place, kind, scalar in nodes:
+        if parent is None:
+            own[node] = {"node": node, "parent": None, "kind": kind}
+        elif parent == ROOT and label == "candidates":
+            own[node] = {"node": node, "parent": ROOT, "cand_pos": place, "kind": kind}
+        elif label == "reward_result" and parent in own and node == f"{parent}.reward_result":
+            own[parent]["result_node"] = node
+        elif parent.endswith(".reward_result") and (holder := parent.removesuffix(".reward_result")) in own:
+            if label in CRITERION_LISTS:
+                row = criteria.setdefault((holder, place), {"node": None, "parent": holder, "cand_pos": own[holder]["cand_pos"], "crit_pos": place, "kind": None})
+                row[_SINGLE[label]] = scalar
+                if label == CRITERION_LISTS[0]:
+                    row |= {"node": node, "kind": kind}
+            elif label in RESULT_SCALARS:
+                own[holder].setdefault(f"result_{label}", scalar)
+        elif parent in own and label in (RECORD_FIELDS if parent == ROOT else CANDIDATE_SCALARS):
+            own[parent].setdefault(label, scalar)
+    if table == "criteria":
+        return list(criteria.values())
+    return [row for row in own.values() if (row["parent"] is None) == (table == "records")]
+
+
+_SINGLE = dict(zip(CRITERION_LISTS, CRITERION_FIELDS, strict=True))
+
+
+def _typed(name: str, kind: str) -> Column:
+    """Text of a JSON scalar as its type; truth values count as numbers, whole numbers in any notation as bigint."""
+    c = F.col(name)
+    if kind == "double":
+        return F.coalesce(c.try_cast("double"), F.when(F.lower(c) == "true", 1.0).when(F.lower(c) == "false", 0.0))
+    if kind == "bigint":
+        number = c.try_cast("double")
+        return F.coalesce(c.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
+    if kind == "boolean":
+        return F.coalesce(c.try_cast("boolean"), c.try_cast("double") != 0)
+    return c.try_cast(kind)
+
+
+def flat_json(df: DataFrame, record_id: str, line: str, origin: str, table: str) -> DataFrame:
+    """One of the FLAT tables of JSON lines whose shape changes from line to line; Arrow batches, no shuffle."""
+    columns = {c: t if c in ("cand_pos", "crit_pos") else "string" for c, t in FLAT[table].items() if c not in ("origin", "record_id")}
+    arrow = pa.schema([("record_id", pa.int64()), *((c, pa.int64() if t == "bigint" else pa.string()) for c, t in columns.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start in range(0, len(ids), 500):
+                rows = [row | {"record_id": i} for i, text in zip(ids[start : start + 500], lines[start : start + 500], strict=True) for row in flat_line(text, table)]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    shape = ", ".join(f"{c} {t}" for c, t in ({"record_id": "bigint"} | columns).items())
+    made = df.select(F.col(record_id).cast("bigint"), F.col(line).cast("string")).mapInArrow(run, shape)
+    return made.select(F.lit(origin).alias("origin"), "record_id", *[F.col(c) if columns[c] == t else _typed(c, t).alias(c) for c, t in FLAT[table].items() if c in columns])

@@ -49,7 +49,33 @@ def p2_criteria(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_candidates": p2_candidates, "p2_criteria": p2_criteria}
+FLAT_SCHEMA = (
+    "record_id bigint, question_id string, split_role string, data_source string, question string, reference_answer string, ingested_at timestamp, "
+    "candidates array<struct<candidate_id string, model_name string, model_path string, generation_mode string, temperature double, top_p double, response string, "
+    "score double, num_parse_failures bigint, reward_result struct<score double, binary_score double, criterion_scores array<double>, criterion_weights array<double>, "
+    "criterion_parse_ok array<boolean>, num_parse_failures bigint, raw_num_parse_failures bigint, raw_parse_success boolean, fallback_used boolean, judge_attempts bigint, "
+    "parse_source string, raw_judge_response string, criterion_yes_probs array<double>>>>"
+)
+
+
+def _flat(spark: SparkSession, d: str, table: str) -> DataFrame:
+    typed = shred.flat_columns(read_table(spark, d, "response_bank", FLAT_SCHEMA), "record_id", "response_bank", table)
+    return typed.unionByName(shred.flat_json(read_table(spark, d, "bank_lines"), "line_id", "line", "bank_lines", table))
+
+
+def p2_flat_records(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "records")
+
+
+def p2_flat_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "candidates")
+
+
+def p2_flat_criteria(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "criteria")
+
+
+QUERIES = {"p2_found": p2_found, "p2_candidates": p2_candidates, "p2_criteria": p2_criteria, "p2_flat_records": p2_flat_records, "p2_flat_candidates": p2_flat_candidates, "p2_flat_criteria": p2_flat_criteria}
 
 ORACLE = {
     "p2_candidates": """
