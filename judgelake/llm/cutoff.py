@@ -222,7 +222,7 @@ def survey(values: DataFrame) -> tuple[dict[str, list[int]], dict[str, tuple[int
     around = around.groupBy("field", (F.col("length") + F.col("step")).alias("length")).agg(F.sum("n").alias("sum"))
     peaks = lengths.filter(F.col("n") >= LEAST_AT_LIMIT).join(around, ["field", "length"]).filter(F.col("n") > PEAK * ((F.col("sum") - F.col("n")) / 8 + 1))
     limits: dict[str, list[int]] = {}
-    for row in peaks.orderBy("field", F.desc("n"), "length").limit(64).collect():  # limits of fields are few
+    for row in peaks.orderBy("field", F.desc("n"), "length").collect():  # peaks are few, whatever the number of values
         limits.setdefault(row["field"], []).append(row["length"])
     return limits, totals
 

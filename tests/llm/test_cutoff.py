@@ -33,6 +33,13 @@ def test_every_value_counts(spark, bank_schema):
     assert {r["level"] for r in cutoff.cut_report(df).collect()} == {"data_source", "model_name"}
 
 
+def test_many_limits_of_one_field_leave_those_of_another(spark):
+    sizes = [100 + 20 * k for k in range(70)]
+    rows = [("raw_judge_responses", "x" * n) for n in sizes for _ in range(60)] + [("response", "x" * 90)] * 50
+    limits, _ = cutoff.survey(spark.createDataFrame(rows, "field string, value string"))
+    assert sorted(limits["raw_judge_responses"]) == sizes and limits["response"] == [90]
+
+
 def test_empty(spark, bank_schema):
     assert cutoff.cut_cases(spark.createDataFrame([], bank_schema)).count() == 0
     assert cutoff.cut_cases(spark.createDataFrame([(1, None, None, None, None, None, None, [("c", "m", "Yes.", None)])], bank_schema)).count() == 0
