@@ -36,8 +36,6 @@ SPAN = max(mask[-1] for mask in MASKS) + 1
 STOCK_SHARE, STOCK_LEAST = 0.02, 4
 #: A passage has at least so many matched words of at least this weight together; a word of one item only weighs 1.
 LEAST_WORDS, LEAST_WEIGHT = 8, 3.5
-#: Weight that the words of an item's seeds in a document must have before they are chained.
-LEAST_SEEDED = 1.5
 #: Words of items whose seeds go to the tasks at once.
 BLOCK_WORDS = 400_000
 #: Documents whose seeds are looked up at once.
@@ -152,8 +150,6 @@ class SeedTable:
         start = 0
         for end in ends.tolist():
             group, start = order[start:end], end
-            if len(group) < 2:
-                continue  # one seed: no passage could grow from it
             first = group[0]
             n, o = int(document[first]), int(owner[first])
             pairs = set()
@@ -161,8 +157,6 @@ class SeedTable:
                 for x, y in zip(MASKS[m // len(MASKS)], MASKS[m % len(MASKS)], strict=True):
                     pairs.add((a + x, p + y))
             weights = self.weights[o]
-            if len(pairs) <= SEED or sum(weights[i] for _, i in pairs) < LEAST_SEEDED:
-                continue  # common words only
             best = self.chain(documents[n], self.words[o], weights, pairs)
             if best[1]:
                 out[n][o] = best

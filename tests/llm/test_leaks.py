@@ -31,6 +31,16 @@ def test_written_otherwise(spark):
     assert found(spark, docs, items) == {(i, 3) for i in (1, 2, 3, 4, 5, 6, 7, 13)}
 
 
+def test_one_seed_with_slips_around_it(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("klmnrst") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+    slips = [w if 4 <= i < 8 else w[:3] + w[3] + w[3:] for i, w in enumerate(words)]
+    body = " ".join(slips)
+    table = next(leaks.item_tables(spark.createDataFrame([(1, " ".join(words))], "item_id bigint, question string"), "item_id", ["question"]))
+    assert len(table.hits([slips])[0]) == 1
+    assert found(spark, [(1, f"{FILL[0]}. {body}. {FILL[1]}"), (2, " ".join(words[4:8]))], [(k, item(k), None) for k in range(40)] + [(99, " ".join(words), None)]) == {(1, 99)}
+
+
 def test_empty(spark):
     assert found(spark, [(1, item(1))], []) == set()
     assert found(spark, [], [(1, item(1), None)]) == set()
