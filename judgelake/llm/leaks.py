@@ -2,7 +2,7 @@
 
 Seeds are hashes of SEED words chosen by fixed masks that skip a position, taken from the items and from every
 document; since all masks share one hash space, a seed also meets a passage into which a word was put or in which
-one was exchanged. Seeds that many different items share (stock instructions, common phrases) are no evidence. Hits
+one was exchanged. What other items hold as well (stock instructions, common phrases) is little evidence or none, however few they are. Hits
 of one item are chained along a document, the chain is extended over slips and exchanged words, and its matched words
 are weighed by their rarity among the items.
 
@@ -16,24 +16,25 @@ give repeated rows once per doc_id; null ids are left out; empty tables give no
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgelake.llm.text import fold, slip, words_of
+from judgelake.runtime import Stage
 
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 SEED = 4
 SPAN = max(mask[-1] for mask in MASKS) + 1
-#: A seed of more than this share of the items' texts, and of more than STOCK_LEAST texts, is stock.
-STOCK_SHARE, STOCK_LEAST = 0.02, 4
+#: A seed is stock in a text if more than STOCK times as many texts hold it as hold what is usual for that text.
+STOCK = 3
 #: A passage has at least so many matched words of at least this weight together; a word of one item only weighs 1.
 LEAST_WORDS, LEAST_WEIGHT = 8, 3.5
 #: Words of items whose seeds go to the tasks at once.
@@ -80,27 +81,23 @@ def seed_hashes(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 class SeedTable:
-    """Words, weights and seeds of one block of items."""
+    """Words, weights and seeds of one block of item texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rarity: dict[str, float], stock_limit: float, stock: Counter) -> None:
-        self.items = items  # (item id, canonical words joined)
+    def __init__(self, items: list[tuple[int, list[str], list[float], list[int]]]) -> None:
+        """items: (item id, canonical words, weight of each word, kept seeds as place * len(MASKS) + mask)."""
+        self.items = [x[0] for x in items]
+        self.words = [x[1] for x in items]
+        self.weights = [x[2] for x in items]
         self.number: dict[str, int] = {}
-        self.weight = rarity
         hashes, owner, place = [], [], []
-        self.words = [text.split(" ") for _, text in items]
-        self.weights: list[list[float]] = []
-        for t, words in enumerate(self.words):
+        for t, (_, words, _, kept) in enumerate(items):
             ids = self.ids(words, True)
-            own = np.zeros(len(words), dtype=bool)  # words all of whose seeds are stock weigh nothing
-            for mask in MASKS:
-                h = seed_hashes(ids, mask)
-                keep = np.array([stock[int(x)] <= stock_limit for x in h], dtype=bool)
-                for off in mask:
-                    own[np.flatnonzero(keep) + off] = True
-                hashes.append(h[keep])
-                owner.append(np.full(int(keep.sum()), t, dtype=np.int32))
-                place.append(np.flatnonzero(keep).astype(np.int32) * len(MASKS) + MASKS.index(mask))
-            self.weights.append([self.weight.get(w, 1.0) if x else 0.0 for w, x in zip(words, own, strict=True)])
+            kept_seeds = np.array(sorted(kept), dtype=np.int32)
+            for m, mask in enumerate(MASKS):
+                at = kept_seeds[kept_seeds % len(MASKS) == m]
+                hashes.append(seed_hashes(ids, mask)[at // len(MASKS)])
+                owner.append(np.full(len(at), t, dtype=np.int32))
+                place.append(at)
         all_hashes = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
         order = np.argsort(all_hashes, kind="stable")
         self.hashes = all_hashes[order]
@@ -157,11 +154,33 @@ class SeedTable:
                 for x, y in zip(MASKS[m // len(MASKS)], MASKS[m % len(MASKS)], strict=True):
                     pairs.add((a + x, p + y))
             weights = self.weights[o]
-            best = self.chain(documents[n], self.words[o], weights, pairs)
+            straight = len({d - i for d, i in pairs}) == 1
+            best = (self.line if straight else self.chain)(documents[n], self.words[o], weights, pairs)
             if best[1]:
                 out[n][o] = best
         return out
 
+    def line(self, words: list[str], item: list[str], weights: list[float], pairs: set[tuple[int, int]]) -> tuple[float, int]:
+        """What chain gives where all pairs are equally far apart: then the pair before is always the best to go on from."""
+        best, top, here = (0.0, 0), None, None
+        for d, i in sorted(pairs):
+            w = weights[i]
+            then = (d, i, w, 1, d, i)
+            if here and i - here[1] <= GAP_ITEM:
+                total, count = here[2] + w, here[3] + 1
+                for k in range(1, i - here[1]):
+                    near, own = words[here[0] + k], item[here[1] + k]
+                    if not near[0].isdigit() and slip(near, own):
+                        total, count = total + 0.5 * weights[here[1] + k], count + 1
+                    else:
+                        total -= max(0.1, weights[here[1] + k])
+                if total > w:
+                    then = (d, i, total, count, here[4], here[5])
+            here = then
+            if here[2] > best[0]:
+                best, top = (here[2], here[3]), here
+        return self.extend(words, item, weights, top) if top else best
+
     def chain(self, words: list[str], item: list[str], weights: list[float], pairs: set[tuple[int, int]]) -> tuple[float, int]:
         """Heaviest chain of matched words that run forward in both texts with short gaps.
 
@@ -203,7 +222,7 @@ class SeedTable:
                     break
                 if words[d] == item[i]:
                     run, more = run + weights[i], more + 1
-                elif slip(words[d], item[i]) and not words[d][0].isdigit():
+                elif not words[d][0].isdigit() and slip(words[d], item[i]):
                     run, more = run + 0.5 * weights[i], more + 1
                 elif 0 <= d + step < len(words) and words[d + step] == item[i]:
                     d, run, more = d + step, run + weights[i] - 0.05, more + 1
@@ -214,62 +233,68 @@ class SeedTable:
         return total, count
 
 
-def item_tables(items: DataFrame, item_id: str, fields: list[str], block_words: int = BLOCK_WORDS) -> Iterator[SeedTable]:
-    """Seed tables of the items, block by block. Rarity and stock seeds are counted over all items."""
+def _texts(items: DataFrame, item_id: str, fields: list[str]) -> DataFrame:
+    """(item, text, words): canonical words of each field of each item; text is the same for equal words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [passage_words(t) for t in batch.column(1).to_pylist()]
+            keys = [hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.string()))], names=["item", "text", "words"])
+
     texts = items.filter(F.col(item_id).isNotNull()).select(
         F.col(item_id).cast("bigint").alias("item"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text")
-    ).filter("length(text) > 0")
-    # One pass for the statistics, which are as small as the items' vocabulary and seeds; a second one builds the blocks.
-    met: Counter = Counter()
-    seen: set[str] = set()
-    for row in texts.toLocalIterator():
-        words = passage_words(row["text"])
-        joined = " ".join(words)
-        if joined in seen:
-            continue
-        seen.add(joined)
-        met.update(set(words))
-    n = max(1, len(seen))
-    unit = math.log((n + 1) / 1.5)
-    rarity = {w: math.log((n + 1) / (c + 0.5)) / unit for w, c in met.items()}
-    block, size = [], 0
-    shared = _shared_seeds(seen)
-    limit = max(STOCK_LEAST, STOCK_SHARE * n)
-    for row in texts.toLocalIterator():
-        words = passage_words(row["text"])
-        if len(words) < SEED:
-            continue
-        block.append((row["item"], words))
-        size += len(words)
-        if size >= block_words:
-            yield _table(block, rarity, shared, limit)
-            block, size = [], 0
-    if block:
-        yield _table(block, rarity, shared, limit)
-
-
-def _grams(words: list[str]) -> Iterator[tuple[str, ...]]:
-    for mask in MASKS:
-        for i in range(len(words) - mask[-1]):
-            yield tuple(words[i + off] for off in mask)
-
-
-def _shared_seeds(texts: set[str]) -> Counter:
-    shared: Counter = Counter()
-    for text in texts:
-        shared.update(set(_grams(text.split(" "))))
-    return Counter({g: c for g, c in shared.items() if c > STOCK_LEAST})
-
-
-def _table(block: list[tuple[int, list[str]]], rarity: dict[str, float], shared: Counter, limit: float) -> SeedTable:
-    probe = SeedTable([], {}, 0, Counter())
-    for _, words in block:
-        probe.ids(words, True)
-    stock: Counter = Counter()
-    for gram, count in shared.items():
-        if all(w in probe.number for w in gram):
-            stock[int(seed_hashes(np.array([probe.number[w] for w in gram], dtype=np.uint64), (0, 1, 2, 3))[0])] = count
-    return SeedTable([(item, " ".join(words)) for item, words in block], rarity, limit, stock)
+    )
+    return texts.filter("length(text) > 0").mapInArrow(run, "item bigint, text binary, words array<string>").filter(F.size("words") >= SEED)
+
+
+def item_evidence(items: DataFrame, item_id: str, fields: list[str], stage: Stage) -> tuple[DataFrame, int]:
+    """(item, words, weights, seeds) of each item text, and the number of words of all of them.
+
+    A seed's count is the number of different texts that hold it, a word's the least count of the seeds over it. What
+    other texts hold as well says less about this one: a word weighs its rarity times the cube of usual / count, where
+    usual is the count that LEAST_WORDS words of the text keep within. Seeds of more than STOCK times as many texts
+    are left out.
+    """
+    texts = stage.keep(_texts(items, item_id, fields))
+    single = stage.keep(texts.select("text", "words").dropDuplicates(["text"]))
+    sums = single.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")).first()
+    n = sums["n"]
+    none = F.array().cast("array<struct<seed:int,h:bigint>>")
+
+    def seeds_of(m: int, mask: tuple[int, ...]) -> Column:
+        starts = F.sequence(F.lit(0), F.size("words") - mask[-1] - 1)
+        seed = F.transform(starts, lambda i: F.struct((i * len(MASKS) + m).alias("seed"), F.xxhash64(*[F.element_at("words", i + off + 1) for off in mask]).alias("h")))
+        return F.when(F.size("words") > mask[-1], seed).otherwise(none)
+
+    made = [seeds_of(m, mask) for m, mask in enumerate(MASKS)]
+    seeds = stage.keep(single.select("text", F.inline(F.concat(*made))))
+    shared = seeds.select("text", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    counted = stage.keep(seeds.join(shared, "h", "left").select("text", "seed", F.coalesce("texts", F.lit(1)).alias("texts")))
+    offsets = F.element_at(F.array(*[F.array(*map(F.lit, mask)) for mask in MASKS]), (F.col("seed") % len(MASKS) + 1).cast("int"))
+    places = counted.select("text", "texts", F.explode(offsets).alias("off"), F.floor(F.col("seed") / len(MASKS)).cast("int").alias("start"))
+    least = places.groupBy("text", (F.col("start") + F.col("off")).alias("place")).agg(F.min("texts").alias("texts"))
+    met = single.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    words = single.select("text", F.posexplode("words").alias("place", "word")).join(met, "word").join(least, ["text", "place"])
+    rarity = F.log((n + 1) / (F.col("df") + 0.5)) / math.log((n + 1) / 1.5)
+    by_text = words.groupBy("text").agg(
+        F.sort_array(F.collect_list(F.struct("place", rarity.alias("rarity"), "texts"))).alias("at"), F.sort_array(F.collect_list("texts")).alias("counts")
+    ).withColumn("usual", F.element_at("counts", F.least(F.size("counts"), F.lit(LEAST_WORDS))))
+    weight = F.transform("at", lambda x: x["rarity"] * F.least(F.lit(1.0), F.pow(F.col("usual") / x["texts"], F.lit(3))))
+    weighed = by_text.select("text", "usual", weight.alias("weights"))
+    kept = counted.join(weighed.select("text", "usual"), "text").filter(F.col("texts") <= STOCK * F.col("usual")).groupBy("text").agg(F.collect_list("seed").alias("seeds"))
+    return stage.keep(texts.join(weighed, "text").join(kept, "text").select("item", "words", "weights", "seeds")), int(sums["words"] or 0)
+
+
+def item_tables(items: DataFrame, item_id: str, fields: list[str], block_words: int = BLOCK_WORDS) -> Iterator[SeedTable]:
+    """Seed tables of the items, block by block; only one block at a time is on the driver."""
+    texts, total = item_evidence(items, item_id, fields, Stage(items.sparkSession))
+    blocks = max(1, -(-total // block_words))
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
+    for k in range(blocks):
+        rows = texts.filter(block == k).orderBy("item", "words").collect()  # about block_words words
+        if rows:
+            yield SeedTable([tuple(r) for r in rows])
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("question", "reference_answer"), least_words: int = LEAST_WORDS, least_weight: float = LEAST_WEIGHT) -> DataFrame:
@@ -291,7 +316,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                         best: dict[int, tuple[float, int]] = {}
                         for owner, (weight, count) in found.items():
                             if weight >= least_weight and count >= least_words:
-                                item = table.items[owner][0]
+                                item = table.items[owner]
                                 best[item] = max(best.get(item, (0.0, 0)), (weight, count))
                         rows += [(doc, item, w, c) for item, (w, c) in best.items()]
                 cols = list(zip(*rows, strict=True)) or [[], [], [], []]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from judgelake.llm import leaks
 
 FILL = [f"{a} {b} {c}" for a in ("grey", "tall", "early", "quiet") for b in ("river", "ledger", "harbour", "orchard") for c in ("slows", "turns", "waits", "ends")]
@@ -41,6 +43,32 @@ def test_one_seed_with_slips_around_it(spark):
     assert found(spark, [(1, f"{FILL[0]}. {body}. {FILL[1]}"), (2, " ".join(words[4:8]))], [(k, item(k), None) for k in range(40)] + [(99, " ".join(words), None)]) == {(1, 99)}
 
 
+@pytest.mark.parametrize("sharing", [2, 3, 5, 14, 40])
+def test_instruction_of_a_few_items(spark, sharing):
+    stock = "Draw the whole diagram first and label each axis before you begin."
+    items = [(k, item(k).split(" Show")[0] + (f" {stock}" if k < sharing else ""), None) for k in range(360)]
+    docs = [(1, f"{FILL[0]}. {stock} {FILL[1]}."), (2, f"{FILL[2]}. {items[1][1]} {FILL[3]}."), (3, stock)]
+    assert found(spark, docs, items) == {(2, 1)}
+
+
+def test_context_of_two_items(spark):
+    rng = random.Random(9)
+    context = " ".join("".join(rng.choice("klmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(70))
+    items = [(k, item(k), None) for k in range(50)] + [(70 + k, f"{context}. {item(70 + k)}", None) for k in range(2)]
+    assert found(spark, [(1, f"{FILL[0]}. {context}. {FILL[1]}")], items) == {(1, 70), (1, 71)}
+
+
+def test_line_is_chain(spark):
+    items = spark.createDataFrame([(k, item(k)) for k in range(30)], "item_id bigint, question string")
+    table = next(leaks.item_tables(items, "item_id", ["question"]))
+    rng = random.Random(3)
+    for t, words in enumerate(table.words):
+        other = [w if rng.random() < 0.7 else rng.choice([w + "s", "und", "7"]) for w in words]
+        pairs = {(i + 2, i) for i, (a, b) in enumerate(zip(words, other, strict=True)) if a == b}
+        args = (["x", "y", *other], words, table.weights[t], pairs)
+        assert table.line(*args) == pytest.approx(table.chain(*args))
+
+
 def test_empty(spark):
     assert found(spark, [(1, item(1))], []) == set()
     assert found(spark, [], [(1, item(1), None)]) == set()
