@@ -2,9 +2,9 @@
 
 Seeds are hashes of SEED words chosen by fixed masks that skip a position, taken from the items and from every
 document; since all masks share one hash space, a seed also meets a passage into which a word was put or in which
-one was exchanged. What other items hold as well (stock instructions, common phrases) is little evidence or none, however few they are. Hits
-of one item are chained along a document, the chain is extended over slips and exchanged words, and its matched words
-are weighed by their rarity among the items.
+one was exchanged. What other items hold as well (stock instructions, common phrases) is little evidence or none, however few
+they are: seeds are counted over all different texts of items, in Spark. Hits of one item are chained along a document,
+the chain is extended over slips and exchanged words, and its matched words are weighed by their rarity among the items.
 
 The items are the stated query set: they are read in blocks of a bounded number of words, each block's seed table
 (its size is checked by construction) goes to the tasks, and the documents are scanned once per block in Arrow

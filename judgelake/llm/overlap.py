@@ -2,11 +2,14 @@
 
 Questions are hashed after case, punctuation and white space normalisation; equal hashes are one class, so copies
 cost one row each however many there are. Exact overlaps are joins of these hashes. A hash of the whole text can't
-see slips, layout or exchanged words, so classes are joined on further hashes of canonical parts: the multiset of
-numbers, which must agree, with each word of the prefix that any class of at least SHARED common words must share
-(words ordered by rarity over all classes, as in prefix-filtered similarity joins); classes without numbers use
-prefix words met in at most RARE classes, and pairs of a name and another word where both are met more often. Every candidate pair is then verified word by word. Pairs are formed between classes and
-expanded to the pairs of one training and one evaluation record only at the end.
+see slips, layout or exchanged words, so classes are joined on further hashes of canonical parts. Two such classes
+have the same multiset of numbers; numbers of at most RARE classes are a key by themselves. Others, and classes
+without numbers, add words: of two classes with at least SHARED of their words in common, words ordered by rarity over
+all classes, each has a common word within its prefix, and two within the prefix that is longer by one word (prefix
+filtering as in similarity joins). A word met in at most RARE classes is a key by itself, and any two prefix words
+that are met more often are one together, so that no class is without keys whatever its words. Every candidate pair
+is then verified word by word. Pairs are formed between classes and expanded to the pairs of one training and one
+evaluation record only at the end; both joins cut a key of many rows into cells of about CELL by CELL rows.
 
 Defined results: long questions are read whole; null, empty and wordless questions and records of no or another role form no pairs; equal record
 ids form no pair; repeated rows give one pair; empty tables give no rows.
@@ -27,14 +30,18 @@ from judgelake.llm.text import distance, fold, number, slip, words_of
 from judgelake.runtime import Stage
 
 SHARED = 0.65
+#: Share of the shorter question's words that must be the same letter by letter, slips not counted.
+LEAST_SHARED = 0.6
 #: A sentence without number or name in this share of all classes, and in STOCK_LEAST of them, is a stock instruction.
 STOCK_SHARE, STOCK_LEAST = 0.001, 8
 #: A word in this share of all classes, and in COMMON_LEAST of them, is no name.
 COMMON_SHARE, COMMON_LEAST = 0.0003, 8
-#: A word met in no more classes than this is selective enough to be a join key by itself.
+#: Numbers, or a word, met in no more classes than this are selective enough to be a join key by themselves.
 RARE = 50
-#: Training records of a class that are paired by one task.
-PART = 2000
+#: Words of a question that is joined by each of its words, however frequent.
+FEW = 3
+#: Rows of a key on either side of a join that meet in one task.
+CELL = 1000
 ROLES = {"train": ["train", "training"], "evaluation": ["dev", "heldout", "test", "development", "validation", "valid", "val", "holdout", "testing", "eval", "evaluation"]}
 
 _SENTENCE = regex.compile(r"(?<=[.?!。？！])\s+|\n+")
@@ -92,7 +99,7 @@ def same_question(a: dict, b: dict) -> bool:
     x, y = Counter(a["words"]), Counter(b["words"])
     shared = sum((x & y).values())
     least = min(sum(x.values()), sum(y.values()))
-    if shared < 0.6 * least:
+    if shared < LEAST_SHARED * least:
         return False
     more, less = x - y, y - x
     common, names = a["common"] | b["common"], a["names"] | b["names"]
@@ -114,6 +121,21 @@ def same_question(a: dict, b: dict) -> bool:
     return shared >= 0.75 * least and min(len(rest_more), len(rest_less)) <= max(2, 0.2 * least)
 
 
+def _met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on key. A key of many rows is cut into cells: each of its rows of one side goes to one row of cells,
+    each of the other side to one column, and only cells of about CELL by CELL rows meet in a task."""
+    # Only keys of more than CELL rows are listed, so these tables are small beside the sides.
+    parts = lambda side, name: side.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name)).filter(F.col(name) > 1)
+    down, across = parts(left, "down"), parts(right, "across")
+
+    def placed(side: DataFrame, own: str, other: str) -> DataFrame:
+        rows = side.join(down, key, "left").join(across, key, "left")
+        hashed = F.pmod(F.xxhash64(*side.columns), F.coalesce(own, F.lit(1))).cast("int")
+        return rows.select(*side.columns, hashed.alias(f"of_{own}"), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(f"of_{other}"))
+
+    return placed(left, "down", "across").join(placed(right, "across", "down"), [key, "of_down", "of_across"]).drop("of_down", "of_across")
+
+
 def overlaps(bank: DataFrame, record_id: str = "record_id", question: str = "question", role: str = "split_role", shared: float = SHARED) -> DataFrame:
     """(train_id, evaluation_id): each pair of a training and an evaluation record that ask the same question."""
     stage = Stage(bank.sparkSession)
@@ -121,9 +143,12 @@ def overlaps(bank: DataFrame, record_id: str = "record_id", question: str = "que
     rows = rows.filter("side is not null and record_id is not null and length(question) > 0")
     records = stage.keep(canonical_questions(rows))
     members = records.select("record_id", "side", "class").distinct()
-    classes = records.groupBy("class").agg(
-        F.first("sentences").alias("sentences"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"),
-        F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "evaluation").alias("in_evaluation"),
+    # Texts of one class may be divided into sentences in several ways; the least division counts for all.
+    classes = stage.keep(
+        records.groupBy("class").agg(
+            F.min("sentences").alias("sentences"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"),
+            F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "evaluation").alias("in_evaluation"),
+        )
     )
     n_classes = classes.count()
     total = max(STOCK_LEAST, STOCK_SHARE * n_classes)
@@ -148,35 +173,38 @@ def overlaps(bank: DataFrame, record_id: str = "record_id", question: str = "que
         )
     )
     tokens = bodies.select("class", F.explode(F.array_distinct("words")).alias("word"))
-    met = bodies.select(F.explode(F.array_distinct("every")).alias("word"), "names")  # stock sentences tell what is common
-    rarity = (
-        met.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.array_contains("names", F.col("word"))).alias("named"))
-        .filter("df > 1").select("word", "df", (F.col("named") * 4 > F.col("df")).alias("name"))
-    )
-    ranked = tokens.join(rarity, "word").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "word", "name"))).alias("ranked"))
+    met = bodies.select(F.explode(F.array_distinct("every")).alias("word"))  # stock sentences tell what is common
+    rarity = met.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = tokens.join(rarity, "word").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    common_numbers = bodies.groupBy("numbers").count().filter((F.col("numbers") == "") | (F.col("count") > RARE)).select("numbers", F.lit(True).alias("often"))
     n = F.size(F.array_distinct("words"))
     unique = n - F.size("ranked")  # words of one class only come first in the order and can't be shared
-    head = n - F.ceil(n * shared).cast("int") - unique
-    none = F.expr("array()").cast("array<struct<df:bigint,word:string,name:boolean>>")
-    bodies = bodies.drop("every").join(ranked, "class", "left").withColumn("ranked", F.coalesce("ranked", none))
-    bodies = bodies.withColumn("head", F.slice("ranked", 1, F.greatest(head + 1, F.lit(1)))).withColumn("longer", F.slice("ranked", 1, F.greatest(head + 2, F.lit(2))))
-    often = F.filter("longer", lambda r: r["df"] > RARE)
-    pairs = F.flatten(
-        F.transform(F.filter(often, lambda r: r["name"]), lambda r: F.transform(F.filter(often, lambda q: q["word"] != r["word"]), lambda q: F.xxhash64(F.least(r["word"], q["word"]), F.greatest(r["word"], q["word"]))))
-    )
-    single = F.transform(F.filter("head", lambda r: r["df"] <= RARE), lambda r: F.xxhash64(r["word"]))
-    keys = F.when(F.col("numbers") != "", F.transform("head", lambda r: F.xxhash64("numbers", r["word"]))).otherwise(F.concat(single, pairs))
+    longer = F.slice("ranked", 1, F.greatest(n - F.ceil(n * shared).cast("int") - unique + 2, F.lit(2)))
+    none = F.expr("array()").cast("array<struct<df:bigint,word:string>>")
+    bodies = bodies.drop("every").join(ranked, "class", "left").join(common_numbers, "numbers", "left").withColumn("ranked", F.coalesce("ranked", none)).withColumn("longer", longer)
+    often = F.filter("longer", lambda r: r["df"] > RARE)["word"]
+    pairs = F.flatten(F.transform(often, lambda w: F.transform(F.filter(often, lambda v: v > w), lambda v: F.xxhash64("numbers", w, v))))
+    # Where a question has so few words, one that holds a few more may share a single one with it.
+    alone = F.when(n <= FEW, F.transform("ranked", lambda r: F.xxhash64("numbers", r["word"]))).otherwise(F.array().cast("array<bigint>"))
+    single = F.transform(F.filter("ranked", lambda r: r["df"] <= RARE), lambda r: F.xxhash64("numbers", r["word"]))
+    keys = F.when(F.col("often"), F.concat(single, pairs, alone)).otherwise(F.array(F.xxhash64("numbers")))
+    bag = F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w))
     bodies = stage.keep(
         bodies.select(
-            "class", "names", "in_train", "in_evaluation", "words", "numbers", keys.alias("keys"),
+            "class", "names", "in_train", "in_evaluation", "words", "numbers", keys.alias("keys"), bag.alias("bag"),
             F.filter("ranked", lambda r: r["df"] >= max(COMMON_LEAST, COMMON_SHARE * n_classes))["word"].alias("common"),
         )
     )
     keyed = bodies.select("class", "in_train", "in_evaluation", F.explode(F.array_distinct("keys")).alias("key"))
     left = keyed.filter("in_train").select("key", F.col("class").alias("a"))
     right = keyed.filter("in_evaluation").select("key", F.col("class").alias("b"))
-    candidates = left.join(right, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    candidates = _met(left, right, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     facts = bodies.select("class", "words", "numbers", "common", "names")
+    bags = lambda p: bodies.select(F.col("class").alias(p), F.col("bag").alias(f"{p}_bag"), F.size("words").alias(f"{p}_size"), F.col("numbers").alias(f"{p}_numbers"))
+    # Common words, and as many more as the repeats of one side could be, must reach what same_question asks for.
+    repeats = F.least(F.col("a_size") - F.size("a_bag"), F.col("b_size") - F.size("b_bag"))
+    alike = F.size(F.array_intersect("a_bag", "b_bag")) + repeats >= LEAST_SHARED * F.least("a_size", "b_size")
+    candidates = stage.keep(candidates.join(bags("a"), "a").join(bags("b"), "b").filter("a_numbers = b_numbers").filter(alike).select("a", "b"))
     side_of = lambda p: facts.select(F.col("class").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("words", "numbers", "common", "names")])
     joined = candidates.join(side_of("a"), "a").join(side_of("b"), "b").filter("a_numbers = b_numbers")
 
@@ -194,12 +222,8 @@ def overlaps(bank: DataFrame, record_id: str = "record_id", question: str = "que
     linked = stage.keep(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same))
     train = members.filter("side = 'train'").select(F.col("class").alias("a"), F.col("record_id").alias("train_id"))
     evaluation = members.filter("side = 'evaluation'").select(F.col("class").alias("b"), F.col("record_id").alias("evaluation_id"))
-    # A class of many training records is cut into parts of about PART, so that no task makes all its pairs.
-    parts = train.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    train = train.join(parts, "a").select("a", "train_id", F.pmod(F.xxhash64("train_id"), F.col("parts")).cast("int").alias("part"))
-    linked = linked.join(parts, "a").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs_ = train.join(evaluation.join(linked, "b"), ["a", "part"]).filter("train_id <> evaluation_id")
-    return pairs_.select("train_id", "evaluation_id").distinct()
+    asked = _met(linked, evaluation, "b").select("a", "evaluation_id")
+    return _met(train, asked, "a").filter("train_id <> evaluation_id").select("train_id", "evaluation_id").distinct()
 
 
 def overlap_pairs(bank: DataFrame) -> DataFrame:

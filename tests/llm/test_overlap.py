@@ -1,3 +1,5 @@
+import random
+
 from judgelake.llm import overlap
 from judgelake.llm.text import number, slip, words
 
@@ -38,3 +40,25 @@ def test_words():
     assert words("Ｃａｆé​ NAÏVE 中文 1,5") == ["cafe", "naive", "中", "文", "1,5"]
     assert [number(x) for x in ("1,000", "01.50", "7,5", "0")] == ["1000", "1.5", "7.5", "0"]
     assert slip("taht", "that") and slip("wheen", "when") and not slip("late", "rare") and not slip("a", "b")
+
+
+def test_common_words_only(spark):
+    rng = random.Random(4)
+    vocabulary = sorted({"".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(150)})
+    asked = [rng.sample(vocabulary, 18) for _ in range(2000)]
+    rows = [(k, "train", " ".join(words)) for k, words in enumerate(asked)]
+    for k in range(200):
+        slipped = asked[k * 10][:]
+        slipped[k % 18] += "x"
+        rows.append((10_000 + k, "test", " ".join(slipped)))
+    bank = spark.createDataFrame(rows, "record_id bigint, split_role string, question string")
+    found = {(r[0], r[1]) for r in overlap.overlap_pairs(bank).collect()}
+    assert found == {(k * 10, 10_000 + k) for k in range(200)}
+
+
+def test_cells_change_nothing(spark, monkeypatch):
+    rows = [(k, "train" if k % 2 else "dev", "What does the quiet harbour keep?" if k % 3 else f"What does the quiet harbour of Tol{'abcdefgh'[k % 8]}en keep?") for k in range(120)]
+    bank = spark.createDataFrame(rows, "record_id bigint, split_role string, question string")
+    whole = sorted(overlap.overlap_pairs(bank).collect())
+    monkeypatch.setattr(overlap, "CELL", 7)
+    assert sorted(overlap.overlap_pairs(bank).collect()) == whole and len(whole) > 1000
