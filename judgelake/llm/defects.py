@@ -5,8 +5,9 @@ empty      nothing but blanks, placeholders, markup and empty frames;
 refusal    every sentence refuses (a grammar of who, can't or won't, answer what) or is courtesy, and one refuses;
 copy       greedy string tiling of the answer with the question leaves next to nothing uncovered but framing;
 language   script and function words of the body, quotations aside, are of another language than the question's;
-truncated  a pushdown parser finds a fence, bracket, quotation, formula or escape open at the end, or the closing
-           words look broken off to the regression of :mod:`judgelake.llm.cutoff`, fitted on SAMPLE answers.
+truncated  a pushdown parser finds a fence, bracket, quotation, formula, environment, tag, emphasis, list item or table
+           row open at the end, or the closing words look broken off to the regression of
+           :mod:`judgelake.llm.cutoff`, fitted on SAMPLE answers.
 
 Questions stand once beside all their answers, so that a record is one row until its defective pairs are known; no
 shuffle is needed. Defined results: a null answer is empty, a null candidate is no pair; without a question no answer is a copy or
@@ -15,19 +16,24 @@ in another language; long answers are read whole; repeated rows give one pair pe
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgelake.llm import cutoff
-from judgelake.llm.text import fold, slip, words_of
+from judgelake.llm.text import LONGEST, fold, slip, words_of
 
 SAMPLE = 5000
-#: Share of an answer's words that tiles of the question must cover, and words that framing may add.
+#: Share of an answer's words that must stand in the question, and words that framing may add.
 COVERED, FRAMING = 0.82, 5
+#: A copy has this share of its words at the beginning of three tiled ones, or gives this share of the question back;
+#: and so many of its words stand in the question letter by letter.
+DENSE, GIVEN, LITERAL = 0.45, 0.75, 0.4
 TILE = 3
 THRESHOLD = 0.6
 
@@ -58,7 +64,11 @@ _REFUSALS = [
     regex.compile(r"(?:не (?:могу|можем|буду|вправе|имею права|разрешено|смогу|готов|стану)|вынужден|отказыва|невозможно|нельзя|предпочитаю не)[^.!?]{0,60}(?:ответ|отвеч|помо|обсужд|коммент|дать|говорить|отказ)", regex.I),
     regex.compile(r"(?:无法|不能|不便|拒绝|不可以|不方便|不予|没办法|不会|不允许|无权|不愿|恕)[^。！？]{0,20}(?:回答|答复|帮助|帮|讨论|提供|回应|评论|作答|处理|答案|协助)|(?:抱歉|对不起)[^。]{0,10}(?:不|无)"),
 ]
-_NOT_REFUSAL = regex.compile(r"cannot stress enough|can't stress enough|would decline to call|that this is long", regex.I)
+#: What is said in the words of a refusal but refuses nothing: emphasis, a name that isn't accepted, an excuse for length.
+_NOT_REFUSAL = regex.compile(
+    r"\b(?:cannot|can't|can not|couldn't|could not) (?:stress|emphasi[sz]e|overstate|understate|help but)\b|\b(?:declin|refus)(?:e|ed|es) to (?:call|accept|treat|believe)\b"
+    r"|\bthat this is (?:so |too |rather )?(?:long|short|late|brief)\b", regex.I,
+)
 _COURTESY = regex.compile(
     r"^(?:hm+|sure|ok(?:ay)?|well|sorry|unfortunately|apologies|thanks? (?:you )?(?:for|very)|thank you|let me be frank|i understand|if you have (?:another|other|any)|is there (?:something|anything)|"
     r"questions? (?:about|on)|the topic of|you (?:asked|want)|please|feel free|i'?m happy|i am happy|happy to|still|while|in case|as an? (?:assistant|ai|language|model)|danke|entschuldig|tut mir|merci|désolé|je (?:suis )?désolé|"
@@ -73,10 +83,39 @@ _FUNCTION = {
     "fr": "le la les des est et dans pour par une du au aux que qui ne pas sur avec ce cette son sa plus quel quelle comment pourquoi on devient reste dès selon lorsque",
     "es": "el la los las es y en por para una del al que no con se su un cuando cómo qué según como más muy sin entre queda cuál solo",
 }
-_WORD_LANGUAGE: dict[str, list[str]] = {}
-for _language, _list in _FUNCTION.items():
-    for _w in _list.split():
-        _WORD_LANGUAGE.setdefault(fold(_w), []).append(_language)
+#: Function words of further languages, asked only where those above don't tell.
+_FURTHER = {
+    "pt": "o os as um uma do da dos das no na nos nas em para com não que é são por mais como mas ao pelo pela seu sua quando também foi",
+    "it": "il lo gli di del della dei delle un una che è sono non per con nel nella più come ma anche questo questa quando viene dal alla si",
+    "nl": "de het een van en is zijn niet met voor op aan te dat die er ook naar bij wordt door uit maar als om deze dit heeft",
+    "sv": "och att det som en ett är av för med på den till inte har de om från vid kan men så när eller efter också",
+    "da": "og at det som en et er af for med på den til ikke har de om fra ved kan men så når eller efter også bliver",
+    "pl": "i w na z się nie do jest to że o jak po co tak za od przez przy dla są czy ale jego oraz który która",
+    "cs": "a v na se je že z s o do to i pro za ve jako po ale by jsou není který která nebo při od podle",
+    "hu": "a az és hogy nem is egy van volt ez azt meg de mint csak ha vagy el már még kell ki lesz mert",
+    "ro": "și în de la cu nu o un este pe din pentru mai care să că sunt sau prin dar ca fi după când acest",
+    "tr": "ve bir bu için ile da de olarak daha çok olan gibi kadar sonra ancak ya değil her en ise var ne",
+    "id": "yang dan di dari untuk dengan ini itu pada adalah tidak dalam akan ke oleh juga sebagai karena atau dapat telah lebih",
+    "fi": "ja on ei se että oli hän mutta kun ovat myös tai joka niin kuin voi ole tämä sen jos vain sekä",
+}
+#: Scripts that tell a language or a family, with the characters that must be of them in all.
+_SCRIPTS = [
+    (name, regex.compile(rf"[{signs}]"), least) for name, signs, least in (
+        ("ja", r"\p{Hiragana}\p{Katakana}", 4), ("ko", r"\p{Hangul}", 4), ("ar", r"\p{Arabic}", 8), ("he", r"\p{Hebrew}", 8), ("el", r"\p{Greek}", 8),
+        ("hi", r"\p{Devanagari}", 8), ("th", r"\p{Thai}", 8), ("ka", r"\p{Georgian}", 8), ("hy", r"\p{Armenian}", 8), ("bn", r"\p{Bengali}", 8), ("ta", r"\p{Tamil}", 8),
+    )
+]
+
+
+def _by_word(lists: dict[str, str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for name, listed in lists.items():
+        for w in dict.fromkeys(map(fold, listed.split())):
+            out.setdefault(w, []).append(name)
+    return out
+
+
+_WORD_LANGUAGE, _WORD_FURTHER = _by_word(_FUNCTION), _by_word(_FUNCTION | _FURTHER)
 _QUOTED = regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]{12,}\"")
 _HAN, _CYRILLIC = regex.compile(r"\p{Han}"), regex.compile(r"\p{Cyrillic}")
 
@@ -85,36 +124,41 @@ def language(text: str, least: int = 3) -> str | None:
     """Language of a text by script and function words; None where too little tells."""
     if not text.isascii():
         letters = max(1, sum(map(str.isalpha, text)))
+        for name, signs, few in _SCRIPTS:
+            met = len(signs.findall(text))
+            if met >= few and met * (5 if name == "ja" else 2) > letters:
+                return name
         han, cyrillic = len(_HAN.findall(text)), len(_CYRILLIC.findall(text))
         if han * 2.5 > letters and han >= 4:
             return "zh"
         if cyrillic * 2 > letters and cyrillic >= 8:
             return "ru"
-    sums = dict.fromkeys(_FUNCTION, 0.0)
-    for w in words_of(fold(text)):
-        if by := _WORD_LANGUAGE.get(w):
+    words = words_of(fold(text))
+    return _told(words, _FUNCTION, _WORD_LANGUAGE, least) or _told(words, _FUNCTION | _FURTHER, _WORD_FURTHER, least + 2)
+
+
+def _told(words: list[str], names: dict[str, str], by_word: dict[str, list[str]], least: int) -> str | None:
+    sums = dict.fromkeys(names, 0.0)
+    for w in words:
+        if by := by_word.get(w):
             for x in by:
                 sums[x] += 1 / len(by)
-    ranked = sorted(sums.items(), key=lambda x: -x[1])
-    return ranked[0][0] if ranked[0][1] >= least and ranked[0][1] >= 1.4 * ranked[1][1] else None
+    first, second = sorted(sums.items(), key=lambda x: -x[1])[:2]
+    return first[0] if first[1] >= least and first[1] >= 1.4 * second[1] else None
 
 
 def is_empty(body: str) -> bool:
     inner = body.strip().strip("\"'`[](){}<>.,:;!?-–—_*#|/\\ \n\t​﻿\xa0")
     if not inner or _PLACEHOLDER.match(inner):
         return True
-    if len(body) > 80:
-        return False
     rest = _FRAME.sub(" ", body)
     inner = rest.strip("\"'`[](){}<>.,:;!?-–—_*#|/\\$= \n\t​﻿\xa0")
     return not any(c.isalnum() for c in inner) and not any(ord(c) > 0x2100 for c in inner) or bool(_PLACEHOLDER.match(inner))
 
 
 def is_refusal(body: str) -> bool:
-    if len(body) > 420:
-        return False
     refused = False
-    for part in _SPLIT.split(body):
+    for part in _SPLIT.splititer(body):
         part = part.strip()
         if not part:
             continue
@@ -125,76 +169,193 @@ def is_refusal(body: str) -> bool:
     return refused
 
 
-def tiles(answer: list[str], question: list[str], least: int = TILE) -> list[bool]:
-    """Greedy string tiling: which words of the answer are covered by longest common runs, each word used once."""
-    covered, used = [False] * len(answer), [False] * len(question)
-    places: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(question) - least + 1):
-        places.setdefault(tuple(question[j : j + least]), []).append(j)
-    while True:
-        best: list[tuple[int, int]] = []
-        longest = least
-        for i in range(len(answer) - least + 1):
-            if covered[i]:
-                continue
-            for j in places.get(tuple(answer[i : i + least]), ()):
-                k = 0
-                while i + k < len(answer) and j + k < len(question) and not covered[i + k] and not used[j + k] and answer[i + k] == question[j + k]:
-                    k += 1
-                if k > longest or (k == longest and not best):
-                    longest, best = k, [(i, j)]
-                elif k == longest:
-                    best.append((i, j))
-        if not best:
-            return covered
-        for i, j in best:
-            if not any(covered[i : i + longest]) and not any(used[j : j + longest]):
-                covered[i : i + longest] = [True] * longest
-                used[j : j + longest] = [True] * longest
-
-
-def is_copy(answer: list[str], question: list[str], grams: set[tuple[str, ...]]) -> bool:
-    if len(answer) < 5 or not question:
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Runs:
+    """Hashes of all runs of a word list, whatever their length, from sums over its beginnings."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.n = len(ids)
+        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
+        power = np.ones(self.n + 1, dtype=np.uint64)
+        np.cumprod(np.full(self.n, _BASE, dtype=np.uint64), out=power[1:])
+        self.power = power
+        np.cumsum(ids * power[:-1], out=self.sums[1:])
+        self.free = np.ones(self.n, dtype=bool)
+
+    def of(self, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a run of so many free words begins, and its hash, made comparable by the power of its place."""
+        if size > self.n:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[size:] == taken[: self.n - size + 1])
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + size] - self.sums[at]) * self.power_to(most, at)
+
+    def power_to(self, most: int, at: np.ndarray) -> np.ndarray:
+        powers = np.ones(most + 1, dtype=np.uint64)
+        np.cumprod(np.full(most, _BASE, dtype=np.uint64), out=powers[1:])
+        return powers[most - at]
+
+
+def tiles(answer: list[str], question: list[str], least: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy string tiling: longest common runs first, each word of the answer in one tile; the question may be given
+    back several times. Which words of both are covered.
+
+    Runs of one length are compared by their hashes, and the longest length that still has a common run is found by
+    halving, so that each length costs time in proportion to the words, repetitive texts included.
+    """
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number) + 1) for w in words], dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) for words in (answer, question)]
+    a, q = _Runs(ids[0]), _Runs(ids[1])
+    most, used = max(a.n, q.n), np.zeros(q.n, dtype=bool)
+
+    def common(size: int) -> tuple[np.ndarray, np.ndarray]:
+        (at, x), (to, y) = a.of(size, most), q.of(size, most)
+        return at[np.isin(x, y)], to[np.isin(y, x)]
+
+    longest = min(a.n, q.n)
+    while longest >= least:
+        low, high = least - 1, longest
+        while low < high:  # whether a run of some length is left is monotone in the length
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        longest = low
+        if longest < least:
+            break
+        at, to = common(longest)
+        end = -1
+        for i in at.tolist():
+            if i >= end:
+                end = i + longest
+                a.free[i:end] = False
+        for j in to.tolist():
+            used[j : j + longest] = True
+        longest -= 1
+    return ~a.free, used
+
+
+def _shortened(word: str) -> set[str]:
+    """The word, and what is left of it without one letter, of a long one also without two. Two words of which one is a
+    slip of the other have one of these in common."""
+    out = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if len(word) >= 8:
+        out |= {w[:i] + w[i + 1 :] for w in tuple(out) if len(w) < len(word) for i in range(len(w))}
+    return out
+
+
+class Asked:
+    """The words of a question, and which of them a misspelt word means."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words, self.known = words, set(words)
+        self.near: dict[str, list[str]] | None = None
+        self.found: dict[str, str] = {}
+
+    def meant(self, word: str) -> str:
+        """The question's word of which this one is a slip, the first in order; the word itself if there is none."""
+        if word not in self.found:
+            if self.near is None:
+                self.near = {}
+                for w in sorted(w for w in self.known if len(w) <= LONGEST):
+                    for x in _shortened(w):
+                        self.near.setdefault(x, []).append(w)
+            close = sorted({w for x in _shortened(word) for w in self.near.get(x, ())}) if len(word) <= LONGEST else []
+            self.found[word] = next((w for w in close if slip(word, w)), word)
+        return self.found[word]
+
+
+def is_copy(answer: list[str], asked: Asked) -> bool:
+    """Whether the answer gives the question back: slips of its words count as these words, tiles cover the most, and
+    what they leave are words of the question in another order or a few words of framing."""
+    question, known = asked.words, asked.known
+    if not answer or not question:
         return False
-    met = sum(tuple(answer[i : i + TILE]) in grams for i in range(len(answer) - TILE + 1))
-    if met < 0.45 * len(answer):
+    strange = [w for w in answer if w not in known]
+    if len(strange) > (1 - LITERAL) * len(answer):
         return False
-    covered = tiles(answer, question)
-    left = {w for w, c in zip(question, [False] * len(question), strict=True) if not c}
-    open_words = [w for w, c in zip(answer, covered, strict=True) if not c and not any(w == q or slip(w, q) for q in left)]
-    rest = len(covered) - sum(covered)
-    return len(open_words) <= FRAMING and (len(open_words) <= (1 - COVERED) * len(answer) or rest <= FRAMING)
-
-
-_MARKS = regex.compile(r"```|\$\$|\\begin\{|\\end\{|\\frac\{|[(\[{“«„)\]}”»\"]|\n")
+    unknown = 0
+    for w in strange:
+        unknown += asked.meant(w) not in known
+        if unknown > FRAMING:
+            return False
+    if strange:
+        answer = [w if w in known else asked.meant(w) for w in answer]
+    if len(answer) < 5:
+        return answer == question
+    covered, used = tiles(answer, question)
+    left = Counter(w for w, u in zip(question, used.tolist(), strict=True) if not u)
+    open_words = 0
+    for w, c in zip(answer, covered.tolist(), strict=True):
+        if not c:
+            open_words += left[w] < 1
+            left[w] -= 1
+    rest = len(answer) - int(covered.sum())
+    dense = (covered[2:] & covered[1:-1] & covered[:-2]).sum() >= DENSE * len(answer)
+    return (dense or used.sum() >= GIVEN * len(question)) and open_words <= FRAMING and (open_words <= (1 - COVERED) * len(answer) or rest <= FRAMING)
+
+
+#: Tags that are always closed; others may stand open.
+_PAIRED = "a|b|i|u|em|strong|code|pre|sub|sup|span|div|ul|ol|dl|table|thead|tbody|blockquote|h[1-6]|font|small|big|del|ins|mark|kbd|q|details|section"
+_MARKS = regex.compile(
+    rf"(?P<fence>```)|(?P<formula>\$\$)|\\(?P<side>begin|end)\{{(?P<environment>[^{{}}\n]*)\}}|\\[a-zA-Z]+\{{|\\[()\[\]{{}}]|</?(?P<tag>{_PAIRED})(?:\s[^<>]*)?>|(?P<strong>(?<!\*)\*\*(?!\*))|(?P<tick>`)|[(\[{{“«„)\]}}”»\"]|\n"
+)
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_FINISHED = regex.compile(r"[.!?:;。！？：；)\]|>*`_]\s*$")
+#: A list item of which only the mark is there, after another item or a line that announces it.
+_EMPTY_ITEM = regex.compile(r"(?:^|\n)[ \t]*[-*+•][ \t]+\S[^\n]*\n\s*[-*+•]\s*$|(?:^|\n)[ \t]*\d+[.)][ \t]+\S[^\n]*\n\s*\d+[.)]\s*$|:\s*\n\s*[-*+•]\s*$")
+_ROW = regex.compile(r"^[ \t]*\|.*\|[ \t]*$")
 
 
 def left_open(body: str) -> str:
-    """Pushdown parser over fences, formulas, brackets and quotations: what is open at the end of the text."""
-    stack: list[tuple[str, int]] = []
+    """Pushdown parser over fences, formulas, environments, brackets, quotations, tags, emphasis, lists and tables:
+    what is open at the end of the text. Emphasis and code within a line end with the line or paragraph; a bracket or
+    quotation that a finished line leaves open is a slip of the pen."""
+    stack: list[str] = []
+
+    def close(mark: str) -> None:
+        if mark in stack:
+            while stack.pop() != mark:
+                pass
+
     for m in _MARKS.finditer(body):
-        mark = m.group()
-        top = stack[-1][0] if stack else ""
-        if top == "```" and mark != "```":
+        mark, top = m.group(), stack[-1] if stack else ""
+        if top == "```" and not m["fence"] or top == "`" and mark not in ("`", "\n"):
             continue  # code is no text
-        if mark in ("```", "$$", '"'):
-            if top == mark:
-                stack.pop()
-            elif any(s == mark for s, _ in stack):
-                while stack.pop()[0] != mark:
-                    pass
+        if m["fence"] or m["formula"] or mark == '"' or m["tick"]:
+            if mark in stack:
+                close(mark)
+            else:
+                stack.append(mark)
+        elif m["strong"]:
+            before, after = body[m.start() - 1 : m.start()], body[m.end() : m.end() + 1]
+            if "**" in stack and before and not before.isspace():
+                close("**")
+            elif after and not after.isspace() and not (before.isalnum() and after.isalnum()):
+                stack.append("**")
+        elif m["side"] or m["tag"]:
+            name = f"\\{m['environment']}" if m["side"] else f"<{m['tag']}>"
+            if m["side"] == "end" or mark[1] == "/":
+                close(name)
             else:
-                stack.append((mark, m.start()))
-        elif mark in ("(", "[", "{", "“", "«", "„") or mark.endswith("{") and not mark.startswith("\\end"):
-            stack.append(("{" if mark.endswith("{") else "“" if mark == "„" else mark, m.start()))
+                stack.append(name)
         elif mark in _PAIRS:
-            if any(s == _PAIRS[mark] for s, _ in stack):
-                while stack.pop()[0] != _PAIRS[mark]:
-                    pass
-        elif mark == "\n" and top in ('"', "(", "[") and len(body) - m.start() > 200:
-            stack.pop()  # a mark that no later line closes is a slip of the pen
-    return stack[-1][0] if stack else ""
+            close(_PAIRS[mark])
+        elif mark == "\n":
+            if top == "`" or top == "**" and body[m.end() : m.end() + 1] in ("\n", ""):
+                stack.pop()
+            elif top in ('"', "(", "[") and _FINISHED.search(body, max(0, m.start() - 8), m.start()):
+                stack.pop()
+        elif mark[0] != "\\" or mark[-1] == "{" and len(mark) > 2:
+            stack.append("{" if mark[-1] == "{" else "“" if mark == "„" else mark)
+    if stack:
+        return stack[-1]
+    lines = body.rsplit("\n", 2)
+    last = lines[-1].strip()
+    if last.startswith("|") and not last.endswith("|") and len(lines) > 1 and _ROW.match(lines[-2]):
+        return "|"
+    return "-" if _EMPTY_ITEM.search(body, max(0, body.rfind("\n", 0, max(0, body.rfind("\n"))))) else ""
 
 
 class Judge:
@@ -204,12 +365,11 @@ class Judge:
         self.model = model
 
     def judge(self, question: str | None, answers: list[str | None]) -> list[str | None]:
-        asked = words_of(fold(question)) if question else []
-        grams = {tuple(asked[i : i + TILE]) for i in range(len(asked) - TILE + 1)}
-        spoken = language(question) if asked else None
-        return [self.defect(a, asked, grams, spoken) for a in answers]
+        asked = Asked(words_of(fold(question)) if question else [])
+        spoken = language(question) if asked.words else None
+        return [self.defect(a, asked, spoken) for a in answers]
 
-    def defect(self, answer: str | None, asked: list[str], grams: set[tuple[str, ...]], spoken: str | None) -> str | None:
+    def defect(self, answer: str | None, asked: Asked, spoken: str | None) -> str | None:
         body = answer or ""
         if "<think" in body or "</think" in body:
             closed = _THINK.sub(" ", body)
@@ -220,13 +380,13 @@ class Judge:
             return "empty"
         if is_refusal(body.strip()):
             return "refusal"
-        if is_copy(words_of(fold(body)), asked, grams):
+        if is_copy(words_of(fold(body)), asked):
             return "copy"
         if spoken:
             own = language(_QUOTED.sub(" ", body) if any(q in body for q in "“«„\"") else body)
             if own and own != spoken:
                 return "language"
-        if len(body) > 25 and (left_open(body.rstrip()) or self.model.score(body) >= THRESHOLD):
+        if left_open(body.rstrip()) or self.model.score(body) >= THRESHOLD:
             return "truncated"
         return None
 

@@ -217,7 +217,7 @@ def overlaps(bank: DataFrame, record_id: str = "record_id", question: str = "que
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = joined.mapInArrow(verify, "a binary, b binary")
+    near = stage.keep(joined.mapInArrow(verify, "a binary, b binary"))
     same = bodies.filter("in_train and in_evaluation").select(F.col("class").alias("a"), F.col("class").alias("b"))
     linked = stage.keep(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same))
     train = members.filter("side = 'train'").select(F.col("class").alias("a"), F.col("record_id").alias("train_id"))

@@ -45,13 +45,17 @@ def number(word: str) -> str:
     return (whole.lstrip("0") or "0") + (point + rest if rest else "")
 
 
+#: Letters of the longest word that may be a slip of another one.
+LONGEST = 64
+
+
 @lru_cache(maxsize=100_000)
 def slip(a: str, b: str) -> bool:
     """Whether one word is a spelling slip of the other: one letter more, less or other, or two neighbours exchanged;
     two such slips in words of eight letters or more."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2:
+    if min(len(a), len(b)) < 3 or max(len(a), len(b)) > LONGEST or abs(len(a) - len(b)) > 2:
         return False
     return distance(a, b) <= (2 if min(len(a), len(b)) >= 8 else 1)
 

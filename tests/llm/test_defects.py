@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from judgelake.llm import cutoff, defects
@@ -13,6 +16,10 @@ CASES = [
     ("Die Linse hängt von dem Spiegel ab, der das Licht nicht mehr auf die ganze Platte wirft, und wird durch den Rand begrenzt.", "language"), ("根据报告,镜子在大多数情况下取决于光线,而不是透镜。", "language"),
     ("As it says: “Die Linse hängt von dem Spiegel ab und wird begrenzt.” " + GOOD, None),
     (GOOD + " The mirror is (compare the", "truncated"), (GOOD + "\n```\nvalue = (3 +", "truncated"), (GOOD + "\n$$\n\\frac{12", "truncated"), (GOOD + " The mirror narrows th", "truncated"), (GOOD + " The mir…", "truncated"),
+    (GOOD + " The **mirror narrows the beam", "truncated"), (GOOD + " <b>The mirror narrows.", "truncated"), (GOOD + "\n- lens: 46 cm\n-", "truncated"), (GOOD + "\n| lens | 46 cm |\n| light | 12", "truncated"), ("It is f(x) = {", "truncated"),
+    (GOOD + "\n\\begin{align} x = 1", "truncated"), (GOOD + "\n\\begin{align} x = 1 \\end{align}", None), (GOOD + " The **mirror** narrows <b>the</b> beam.", None), ("The lens (which is fixed. It widens the beam.\n" + GOOD, None), ("<b></b>\n" * 30, "empty"),
+    ("I'm sorry, but I can't help with that request. " * 12, "refusal"), ("You asked: " + (Q + "\n") * 3, "copy"), (Q.replace("lens", "lenz").replace("mirror", "miror").replace("change", "chnage").replace("percent", "precent"), "copy"),
+    ("A lente depende do espelho, que não é mais largo do que o feixe, e a luz não passa pela placa quando também foi reduzida.", "language"), ("Lo specchio è più stretto della lente, ma anche la luce non passa nella lastra quando viene ridotta dal bordo.", "language"), ("レンズは鏡に依存しており、光は板全体に広がります。", "language"),
     ("Option (C)", None), ("12 percent", None), ("Klorenta.", None), ("- lens: 46 cm\n- light: 12 percent", None), (GOOD + "\n| lens | 46 cm |", None), (GOOD + "\n\\boxed{3}", None),
 ]
 
@@ -47,5 +54,45 @@ def test_pushdown():
 
 
 def test_tiling():
-    a, q = "one two three x one two three".split(), "one two three four".split()
-    assert defects.tiles(a, q) == [True, True, True, False, False, False, False]
+    a, q = "one two three x one two three y".split(), "one two three four".split()
+    covered, used = defects.tiles(a, q)
+    assert covered.tolist() == [True, True, True, False, True, True, True, False] and used.tolist() == [True, True, True, False]
+
+
+def slow_tiles(answer, question, least=3):
+    """Longest common runs by trying all places."""
+    free = [True] * len(answer)
+    while True:
+        best = 0
+        for i in range(len(answer)):
+            for j in range(len(question)):
+                k = 0
+                while i + k < len(answer) and j + k < len(question) and free[i + k] and answer[i + k] == question[j + k]:
+                    k += 1
+                if k > best:
+                    best, at = k, i
+        if best < least:
+            return [not x for x in free]
+        free[at : at + best] = [False] * best
+
+
+def test_tiling_against_all_places():
+    rng = random.Random(8)
+    for _ in range(150):
+        a, q = ([rng.choice("abcd") for _ in range(rng.randint(0, 24))] for _ in range(2))
+        assert defects.tiles(a, q)[0].tolist() == slow_tiles(a, q)
+
+
+def test_repetitive_words_in_short_time():
+    began = time.perf_counter()
+    for words in (["alpha"] * 1000, ["alpha", "beta"] * 500):
+        assert defects.is_copy(words, defects.Asked(words[:20]))
+    assert time.perf_counter() - began < 1
+
+
+def test_copy_of_a_short_question():
+    q = "which lamp lit the far harbour first".split()
+    assert defects.is_copy("so you would like to know".split()[:5] + q, defects.Asked(q))
+    assert defects.is_copy("who wrote faust".split(), defects.Asked("who wrote faust".split()))
+    assert not defects.is_copy("the far harbour".split(), defects.Asked(q))
+    assert not defects.is_copy(["x" * 100_000], defects.Asked(["y" * 100_001]))
