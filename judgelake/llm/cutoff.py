@@ -108,9 +108,8 @@ class Model:
     def index(self, text: str) -> list[int]:
         return [crc32(n.encode("utf-8", "surrogatepass")) & (DIMENSIONS - 1) for n in self.names(text)]
 
-    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 250, decay: float = 3e-4) -> None:
-        """Adam on the logistic loss over all rows."""
-        rows = [self.index(t) for t in texts]
+    def fit(self, rows: list[list[int]], labels: np.ndarray, rounds: int = 250, decay: float = 3e-4) -> None:
+        """Adam on the logistic loss over all rows, given as their indexed features."""
         flat = np.fromiter((x for r in rows for x in r), dtype=np.int64)
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         n, w = len(rows), self.weights * 0
@@ -130,7 +129,10 @@ class Model:
     def score(self, text: str) -> float:
         if self.unpunctuated(text):
             return 0.0
-        z = float(self.weights[self.index(text)].sum())
+        return self.probability(self.index(text))
+
+    def probability(self, row: list[int]) -> float:
+        z = float(self.weights[row].sum())
         return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
 
@@ -179,14 +181,15 @@ def train(texts: list[str], limits: list[int], seed: int = 11) -> Model:
     bald = lambda t: t.rstrip()[-1:].isalnum() or t.rstrip()[-1:] == ","
     # What ends in a mark of cutting is no intact value to begin with, nor what ends bald at a limit, unless most values do.
     usual = sum(map(bald, texts)) > 0.75 * len(texts)
-    intact = [t for t in texts if bare(t) == t.rstrip() and (usual or not (len(t) in at_limit and bald(t)))] or texts
-    whole = intact
+    whole = [t for t in texts if bare(t) == t.rstrip() and (usual or not (len(t) in at_limit and bald(t)))] or texts
+    rows = [model.index(t) for t in whole]
+    intact = range(len(whole))
     for rounds in (120, 120, 250):
-        cuts = [c for t in intact if (c := cut_artificially(t, limits, rng))]
+        cuts = [c for i in intact if (c := cut_artificially(whole[i], limits, rng))]
         if not cuts or not intact:
             break
-        model.fit(intact + cuts, np.concatenate([np.zeros(len(intact)), np.ones(len(cuts))]), rounds)
-        intact = [t for t in whole if model.score(t) < 0.6]
+        model.fit([rows[i] for i in intact] + [model.index(c) for c in cuts], np.concatenate([np.zeros(len(intact)), np.ones(len(cuts))]), rounds)
+        intact = [i for i, t in enumerate(whole) if model.unpunctuated(t) or model.probability(rows[i]) < THRESHOLD]
     return model
 
 
