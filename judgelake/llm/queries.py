@@ -24,6 +24,12 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_balance(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_balance(
+        read_table(spark, d, "response_bank", TIE_SCHEMA), read_table(spark, d, "candidate_specs"), read_table(spark, d, "split_plan")
+    )
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, d, "documents"))
 
@@ -75,7 +81,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p1_balance": p1_balance, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report,
         "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids,
         "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report,
     }

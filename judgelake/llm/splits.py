@@ -16,6 +16,8 @@ in columns of clashing names are taken from the columns named in the call.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ from judgelake.runtime import Stage
 HEAVY = 2048
 SHARD_COMPONENTS = 4000
 REPLICAS = 4
+#: Labels balanced each by itself; those beyond the commonest are balanced together.
+LABELS = 64
 
 
 def canonical_id(raw: Column, prefix: str) -> Column:
@@ -126,7 +130,7 @@ def _search(part: pd.DataFrame, want: np.ndarray, want_labels: np.ndarray, names
     return anneal(sizes, labels, want, want_labels, start, seed, min(200_000, 2_000 + 12 * len(part)))
 
 
-def assign_splits(bank: DataFrame, specs: DataFrame, plan: DataFrame, label: str = "data_source", record_id: str = "record_id", seed: int = 17, heavy: int = HEAVY, shard: int = SHARD_COMPONENTS, replicas: int = REPLICAS) -> DataFrame:
+def assign_splits(bank: DataFrame, specs: DataFrame, plan: DataFrame, label: str = "data_source", record_id: str = "record_id", seed: int = 17, heavy: int = HEAVY, shard: int = SHARD_COMPONENTS, replicas: int = REPLICAS, labels: int = LABELS) -> DataFrame:
     """(record_id, component_id, split_role) of every record, in the shares of plan (split_role, share)."""
     spark = bank.sparkSession
     stage = Stage(spark)
@@ -138,7 +142,7 @@ def assign_splits(bank: DataFrame, specs: DataFrame, plan: DataFrame, label: str
     records = bank.filter(F.col(record_id).isNotNull()).groupBy(F.col(record_id).cast("bigint").alias("record_id")).agg(F.min(label).alias("label"))
     groups = tied_groups(bank, specs, record_id)
     records = stage.keep(records.join(groups, "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("component_id"), "label"))
-    known = [r[0] for r in records.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]  # labels beyond the 64 commonest count together
+    known = [r[0] for r in records.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()]
     of = {x: i for i, x in enumerate(known)}
     place = F.coalesce(*[F.when(F.col("label").eqNullSafe(F.lit(x)), F.lit(i)) for x, i in of.items()], F.lit(len(known)))
     width = len(known) + 1
@@ -152,9 +156,18 @@ def assign_splits(bank: DataFrame, specs: DataFrame, plan: DataFrame, label: str
     label_totals = np.array([totals[f"l{i}"] or 0 for i in range(width)], dtype=float)
     big = components.filter(F.col("size") * heavy > total).orderBy("component_id").toPandas()  # at most `heavy` rows
     want, want_labels = shares * total, shares[:, None] * label_totals[None, :]
-    rng = np.random.default_rng(seed)
-    tries = [_search(big, want, want_labels, names, rng.choice(len(names), size=len(big), p=shares), seed + k) for k in range(replicas)]
-    at, _ = min(tries, key=lambda x: x[1])
+    heaviest = spark.sparkContext.broadcast(big)
+
+    def anneal_heavy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"].tolist():
+                part = heaviest.value
+                start = np.random.default_rng([seed, k]).choice(len(names), size=len(part), p=shares)
+                at, value = _search(part, want, want_labels, names, start, seed + k)
+                yield pd.DataFrame({"replica": [k], "cost": [value], "at": [at.tolist()]})
+
+    tries = spark.range(replicas, numPartitions=replicas).mapInPandas(anneal_heavy, "replica bigint, cost double, at array<bigint>")
+    at = tries.agg(F.min_by("at", F.struct("cost", "replica"))).first()[0]
     left, left_labels = want.copy(), want_labels.copy()
     for c, s in enumerate(at):
         left[s] -= big["size"].iloc[c]
@@ -181,3 +194,26 @@ def assign_splits(bank: DataFrame, specs: DataFrame, plan: DataFrame, label: str
     best = tried.groupBy("shard").agg(F.min_by("replica", F.struct("cost", "replica")).alias("replica"))
     chosen = tried.join(best, ["shard", "replica"], "left_semi").select("component_id", "split_role").unionByName(fixed)
     return records.join(chosen, "component_id").select("record_id", "component_id", "split_role")
+
+
+def split_balance(bank: DataFrame, specs: DataFrame, plan: DataFrame, label: str = "data_source", record_id: str = "record_id") -> DataFrame:
+    """Of each split and label: wanted records, records it has, and records it would have by hash of the component alone."""
+    stage = Stage(bank.sparkSession)
+    assigned = stage.keep(assign_splits(bank, specs, plan, label, record_id))
+    records = bank.filter(F.col(record_id).isNotNull()).groupBy(F.col(record_id).cast("bigint").alias("record_id")).agg(F.min(label).alias("label"))
+    shares = plan.filter("share > 0").groupBy("split_role").agg(F.sum("share").alias("share"))
+    rows = shares.orderBy("split_role").collect()  # a few splits
+    total, luck = sum(r["share"] for r in rows), F.pmod(F.xxhash64("component_id", F.lit("start")), F.lit(1 << 30)) / (1 << 30)
+    hashed, sum_ = F.lit(rows[-1]["split_role"]), total
+    for r in reversed(rows):
+        hashed = F.when(luck < sum_ / total, r["split_role"]).otherwise(hashed)
+        sum_ -= r["share"]
+    both = assigned.join(records, "record_id").withColumn("hashed", hashed)
+    counted = lambda c, name: both.groupBy("label", F.col(c).alias("split_role")).agg(F.count(F.lit(1)).alias(name))
+    labels = both.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(r["split_role"]).alias("split_role"), F.lit(r["share"] / total).alias("share")) for r in rows])).alias("s")
+    out = labels.select("label", "n", each).select("label", "s.split_role", (F.col("n") * F.col("s.share")).alias("wanted"))
+    for name, column in (("records", "split_role"), ("hashed_records", "hashed")):
+        c = counted(column, name).select(F.col("label").alias("l"), F.col("split_role").alias("r"), name)
+        out = out.join(c, F.col("label").eqNullSafe(F.col("l")) & (F.col("split_role") == F.col("r")), "left").drop("l", "r")
+    return out.select("split_role", "label", "wanted", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("hashed_records", F.lit(0)).alias("hashed_records"))

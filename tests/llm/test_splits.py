@@ -86,3 +86,12 @@ def test_splits_keep_groups_and_shares(spark, hub):
         sizes[r["split_role"]] = sizes.get(r["split_role"], 0) + 1
     for name, share in (("train", 0.65), ("dev", 0.15), ("heldout", 0.2)):
         assert abs(sizes[name] / len(rows) - share) < 0.02
+
+
+def test_balance(spark):
+    bank = spark.createDataFrame([(i, f"q_{i // 3}", "a" if i % 2 else None, None) for i in range(300)], "record_id bigint, question_id string, data_source string, candidates array<struct<candidate_id:string>>")
+    specs = spark.createDataFrame([], "candidate_id string")
+    plan = spark.createDataFrame([("train", 0.8), ("dev", 0.2)], "split_role string, share double")
+    rows = splits.split_balance(bank, specs, plan).collect()
+    assert len(rows) == 4 and sum(r["records"] for r in rows) == sum(r["hashed_records"] for r in rows) == 300
+    assert all(abs(r["records"] - r["wanted"]) <= 3 for r in rows)
