@@ -29,6 +29,23 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
+def pearson_or_null(x: Column, y: Column) -> Column:
+    """Aggregate: correlation of two columns; null for fewer than two rows or no variance."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.when(F.count_if(both) > 1, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
+def back_off(attempt: int, base: float = 1.0, most: float = 30.0) -> float:
+    """Seconds to wait before another attempt (1, 2, ...): doubled each time, bounded."""
+    return min(most, base * 2 ** max(0, attempt - 1))
+
+
+def batch_size(free_bytes: int, row_bytes: int, most: int = 256) -> int:
+    """Rows that fit into free memory, at least 1 and at most so many."""
+    return max(1, min(most, free_bytes // max(1, row_bytes)))
+
+
 def sigmoid(z: Column) -> Column:
     """1 / (1 + exp(-z)) without overflow on either side."""
     small = F.exp(-F.abs(z))

@@ -50,20 +50,51 @@ def criterion_listing(rubric: Column) -> Column:
 
 
 def kind(title: Column, description: Column) -> Column:
-    """First kind named in a criterion's text, else null."""
+    """First kind named in a criterion's text, else unknown."""
     text = F.lower(F.concat_ws(" ", title, description))
-    out = F.lit(None).cast("string")
+    out = F.lit("unknown")
     for word in reversed(KINDS):
         out = F.when(text.contains(word), word).otherwise(out)
     return out
 
 
+#: Forms in which a criterion can be written.
+FORMS = ("full", "compact", "canonical", "title_only", "description_only")
+
+
+def criterion(title: Column, description: Column, form: str = "canonical", limit: int = 0) -> Column:
+    """A criterion in one of FORMS, cut to limit characters if that is above 0.
+
+    full joins title and description; compact also leaves out "... Criteria:" wherever it stands; canonical says of
+    that that the response satisfies it or, for a pitfall, avoids it.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form is one of {FORMS}")
+    t, d = (F.coalesce(collapsed(x), F.lit("")) for x in (title, description))
+    if form == "title_only":
+        out = F.when(t != "", t).otherwise(d)
+    elif form == "description_only":
+        out = F.when(d != "", d).otherwise(t)
+    else:
+        out = F.when((t != "") & (d != ""), F.concat(t, F.lit(": "), d)).otherwise(F.concat(t, d))
+        if form != "full":
+            out = F.regexp_replace(out, r"(?i)\b(?:Essential|Important|Optional|Pitfall)\s+Criteria\s*:\s*", "")
+        if form == "canonical":
+            lead = F.when(kind(title, description) == "pitfall", "The response avoids this pitfall: ").otherwise("The response satisfies this criterion: ")
+            out = F.concat(lead, out)
+    return shortened(collapsed(out), limit) if limit > 0 else collapsed(out)
+
+
 def canonical_criterion(title: Column, description: Column) -> Column:
-    """A statement that the response satisfies a criterion or avoids a pitfall."""
-    body = F.regexp_replace(collapsed(description), r"(?i)^(?:essential|important|optional|pitfall)\s+criteria:\s*", "")
-    body = F.when(F.coalesce(body, F.lit("")) == "", collapsed(title)).otherwise(body)
-    lead = F.when(kind(title, description) == "pitfall", "The response avoids this pitfall: ").otherwise("The response satisfies this criterion: ")
-    return F.concat(lead, body)
+    return criterion(title, description)
+
+
+def bench_criterion(rule: Column, hard: Column, form: str = "canonical") -> Column:
+    """A rule of a graded question as a statement (canonical) or followed by its label (full)."""
+    text, name = collapsed(F.coalesce(rule, F.lit(""))), F.when(F.coalesce(hard, F.lit(False)), "hard").otherwise("soft")
+    if form == "full":
+        return F.concat(text, F.lit(" ["), F.initcap(name), F.lit(" Rule]"))
+    return F.concat(F.lit("The response satisfies this "), name, F.lit(" rule: "), text)
 
 
 def verdict_letters(verdicts: Column) -> Column:
@@ -81,9 +112,15 @@ def first_line(x: Column) -> Column:
     return F.coalesce(F.get(lines(x), F.lit(0)), F.lit(""))
 
 
-def question_key(x: Column) -> Column:
-    """Stable id of a question's text."""
-    return F.concat(F.lit("q_"), F.substring(F.sha1(x), 1, 16))
+def question_key(x: Column, otherwise: Column | None = None) -> Column:
+    """Stable id of a question's text; where that is empty, of another text (the prompt as JSON) if one is given."""
+    told = x if otherwise is None else F.when(F.coalesce(x, F.lit("")) != "", x).otherwise(otherwise)
+    return F.concat(F.lit("q_"), F.substring(F.sha1(told), 1, 16))
+
+
+def one_line(x: Column) -> Column:
+    """Line ends as blanks, trimmed; empty for null."""
+    return trimmed(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\r\n]+", " "))
 
 
 def slug(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from judgelake.functions.text import kind
+
 HARD, SOFT = 3, 1
 
 
@@ -50,10 +52,11 @@ def criterion_items(samples: DataFrame) -> DataFrame:
     )
 
 
-def candidates(bank: DataFrame, *extra: str) -> DataFrame:
-    """One row per candidate that isn't null, with its place."""
+def candidates(bank: DataFrame, *extra: str, allowed: list[str] | None = None) -> DataFrame:
+    """One row per candidate that isn't null, with its place; only those of the allowed ids if any are given."""
     rows = bank.select("record_id", "question_id", *extra, F.posexplode("candidates").alias("cand_pos", "c"))
-    return rows.filter(F.col("c").isNotNull()).withColumn("cand_pos", F.col("cand_pos").cast("bigint"))
+    rows = rows.filter(F.col("c").isNotNull()).withColumn("cand_pos", F.col("cand_pos").cast("bigint"))
+    return rows if allowed is None else rows.filter(F.col("c.candidate_id").isin(allowed))
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -67,9 +70,15 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str], last: bool
 
 
 def keyed_candidates(bank: DataFrame, *extra: str) -> DataFrame:
-    """One row per record and candidate id; of repeated ids the last counts. Null ids name nothing."""
-    rows = candidates(bank, *extra).filter(F.col("c.candidate_id").isNotNull()).withColumn("candidate_id", F.col("c.candidate_id"))
-    return first_of_each(rows, ["record_id", "candidate_id"], ["cand_pos"], last=True)
+    """One row per record and candidate id; of repeated ids the last counts. Null ids name nothing.
+
+    Repeats stand in one array, so they are dropped there, before rows are made: nothing is shuffled.
+    """
+    backward = F.reverse(F.transform("candidates", lambda c: c["candidate_id"]))
+    last = lambda c, i: F.array_position(backward, c["candidate_id"]) == F.size("candidates") - i
+    each = F.transform("candidates", lambda c, i: F.struct(i.cast("bigint").alias("cand_pos"), c.alias("c"), F.coalesce(last(c, i), F.lit(False)).alias("last")))
+    rows = bank.select("record_id", "question_id", *extra, F.inline(F.filter(each, lambda x: x["last"])))
+    return rows.select("record_id", "question_id", *extra, "cand_pos", "c", F.col("c.candidate_id").alias("candidate_id"))
 
 
 def parse_clean(result: Column, rubric: Column) -> Column:
@@ -81,12 +90,20 @@ def parse_clean(result: Column, rubric: Column) -> Column:
     )
 
 
-def bank_items(bank: DataFrame) -> DataFrame:
-    """One row per criterion decision of candidates with clean labels; weight null or absent is 1, label by 0.5."""
-    rows = keyed_candidates(bank, "rubric").filter(parse_clean(F.col("c.reward_result"), F.col("rubric")))
-    each = F.arrays_zip(F.col("rubric"), F.col("c.reward_result.criterion_scores").alias("s"))
+def bank_items(bank: DataFrame, allowed: list[str] | None = None, labelled: bool = True) -> DataFrame:
+    """One row per criterion decision: kind and weight (null or absent is 1) of the criterion, label by 0.5.
+
+    Labelled rows come from candidates with clean labels only; otherwise every candidate counts and every label is 0.
+    """
+    rows = keyed_candidates(bank, "rubric")
+    if allowed is not None:
+        rows = rows.filter(F.col("candidate_id").isin(allowed))
+    rows = rows.filter(parse_clean(F.col("c.reward_result"), F.col("rubric")) if labelled else F.size("rubric") > 0)
+    scores = F.col("c.reward_result.criterion_scores") if labelled else F.transform("rubric", lambda r: F.lit(0.0))
+    each = F.arrays_zip(F.col("rubric"), scores.alias("s"))
     return rows.select("record_id", "candidate_id", F.posexplode(each).alias("rule_index", "x")).select(
         "record_id", "candidate_id", F.col("rule_index").cast("bigint").alias("rule_index"), F.col("x.rubric.title").alias("title"),
+        kind(F.col("x.rubric.title"), F.col("x.rubric.description")).alias("kind"),
         F.coalesce("x.rubric.weight", F.lit(1.0)).alias("weight"), F.when(F.col("x.s") >= 0.5, 1).otherwise(0).cast("bigint").alias("label"),
     )
 
@@ -104,15 +121,18 @@ def rubric_groups(bank: DataFrame, size: int) -> DataFrame:
 
 
 def regroup(parts: DataFrame) -> DataFrame:
-    """Slices (record_id, cand_pos, group_start, vector, ok, text, n) put together by offset: gaps are 0, a sample is
-    parsed if all its slices are, texts are joined by blank lines in order."""
+    """Slices (record_id, cand_pos, group_start, size, vector, ok, text, n, rubric) put together by offset: gaps are 0, a
+    sample is parsed if all its slices are, failures are the rules of unparsed slices, texts are joined by blank lines."""
     one = F.struct("group_start", "vector", "ok", "text")
-    rows = parts.groupBy("record_id", "cand_pos").agg(F.sort_array(F.collect_list(one)).alias("g"), F.max("n").alias("n"), F.bool_and("ok").alias("parsed"))
+    rows = parts.groupBy("record_id", "cand_pos").agg(
+        F.sort_array(F.collect_list(one)).alias("g"), F.max("n").alias("n"), F.bool_and("ok").alias("parsed"), F.any_value("rubric").alias("rubric"),
+        F.sum(F.when(F.col("ok"), 0).otherwise(F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)))).alias("failures"),
+    )
     holds = lambda g, i: (g["group_start"] <= i) & (i < g["group_start"] + F.size(g["vector"]))
     value = lambda i: F.try_element_at(F.filter("g", lambda g: F.coalesce(holds(g, i), F.lit(False))), F.lit(-1))
     made = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.coalesce(F.get(value(i)["vector"], (i - value(i)["group_start"]).cast("int")), F.lit(0)))
     return rows.select(
-        "record_id", "cand_pos", "parsed", F.when(F.col("n") > 0, made).alias("vector"),
+        "record_id", "cand_pos", "parsed", "failures", "rubric", F.when(F.col("n") > 0, made).alias("vector"),
         F.array_join(F.filter(F.col("g")["text"], lambda t: t.isNotNull()), "\n\n").alias("raw_text"),
     )
 

@@ -173,11 +173,13 @@ def calibration_error(items: DataFrame, prob: str, label: str, bins: int = 10) -
 
 
 def threshold_sweep(items: DataFrame, prob: str, label: str) -> DataFrame:
-    """Confusion counts at every observed probability as threshold.
+    """Confusion counts at 0.05, 0.06, ..., 0.95 and every observed probability as threshold.
 
     Probabilities are counted first; running sums from the top give every threshold in one sort of distinct values.
     """
-    cells = items.groupBy(F.col(prob).alias("threshold")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("m"))
+    counted = items.select(F.col(prob).alias("threshold"), F.col(label).alias("pos"), F.lit(1).alias("m"))
+    grid = items.sparkSession.createDataFrame([(k / 100.0, 0, 0) for k in range(5, 96)], "threshold double, pos bigint, m int")
+    cells = counted.unionByName(grid).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("m").alias("m"))
     # Sums of SLICES ranges of probability give each range its start; within a range a window sorts on its own.
     cells = cells.withColumn("slice", F.least(F.greatest(F.floor(F.col("threshold") * SLICES), F.lit(0)), F.lit(SLICES)).cast("int"))
     slices = cells.groupBy("slice").agg(F.sum("pos").alias("sp"), F.sum("m").alias("sm"))
@@ -196,9 +198,16 @@ def threshold_sweep(items: DataFrame, prob: str, label: str) -> DataFrame:
         (F.col("all_m") - F.col("all_pos") - F.col("called") + F.col("tp")).alias("tn"),
     )
     figures = class_figures(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
-    return out.withColumns({k: six(figures[k]) for k in ("macro_f1", "balanced_accuracy")} | {"accuracy": six(ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))})
+    accuracy = ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    return out.withColumns({k: figures[k] for k in ("macro_f1", "balanced_accuracy")} | {"accuracy": accuracy})
 
 
-def best_threshold(sweep: DataFrame) -> DataFrame:
-    """The threshold with the best macro F1, then balanced accuracy, then accuracy, then the lowest."""
-    return sweep.orderBy(F.desc("macro_f1"), F.desc("balanced_accuracy"), F.desc("accuracy"), "threshold").limit(1)
+def best_threshold(sweep: DataFrame, metric: str = "macro_f1") -> DataFrame:
+    """The threshold with the best metric, then balanced accuracy, then accuracy; of equal ones 0.5, then the lowest."""
+    return sweep.orderBy(F.desc(metric), F.desc("balanced_accuracy"), F.desc("accuracy"), F.col("threshold") != 0.5, "threshold").limit(1)
+
+
+def best_layer(sweeps: DataFrame, metric: str = "macro_f1") -> DataFrame:
+    """Of several layers' best thresholds (layer, threshold, figures, loss) the best: metric, balanced accuracy and
+    accuracy downward, loss and layer upward."""
+    return sweeps.orderBy(F.desc(metric), F.desc("balanced_accuracy"), F.desc("accuracy"), "loss", "layer").limit(1)

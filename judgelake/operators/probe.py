@@ -96,3 +96,17 @@ def losses(rows: DataFrame, prob: str, label: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), six(F.avg(softplus(z) - y * z)).alias("nll"), six(F.avg((p - y) * (p - y))).alias("brier"),
         six(F.avg(p)).alias("mean_prob"), six(F.avg(F.when(y == 1, p))).alias("mean_prob_positive"), six(F.avg(F.when(y == 0, p))).alias("mean_prob_negative"),
     )
+
+
+def select_layers(spec: str, layers: int) -> list[int]:
+    """Layers named by auto (four spread over the upper half, and the last), last, all or a list; negative ones count
+    from the end. Repeats are left out; a layer that isn't there is an error."""
+    if spec == "all":
+        return list(range(layers))
+    if spec == "last":
+        return [layers - 1]
+    picked = [layers // 2 + k * (layers - 1 - layers // 2) // 4 for k in range(5)] if spec == "auto" else [int(x) for x in spec.split(",") if x.strip()]
+    out = list(dict.fromkeys(x + layers if x < 0 else x for x in picked))
+    if not out or not all(0 <= x < layers for x in out):
+        raise ValueError(f"no such layers: {spec}")
+    return out

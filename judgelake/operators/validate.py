@@ -33,7 +33,8 @@ def scored_candidates(rows: DataFrame) -> DataFrame:
         ("score_missing", r.isNotNull() & r["score"].isNull(), F.lit("")),
         ("not_parsed", ~F.forall(ok, lambda x: F.coalesce(x, F.lit(False))), F.size(ok)),
         ("score_not_finite", F.isnan(r["score"]) | (F.abs(r["score"]) == float("inf")), F.lit("")),
-        ("score_differs", (F.size(scores) == F.size(weights)) & ~F.exists(scores, lambda s: s.isNull()) & (F.abs(r["score"] - recomputed) > 1e-6), F.size(scores)),
+        ("weight_not_finite", F.exists(weights, lambda w: F.isnan(w) | (F.abs(w) == float("inf"))), F.size(weights)),
+        ("score_differs", (F.size(scores) == F.size(weights)) & ~F.exists(scores, lambda s: s.isNull()) & (F.abs(r["score"] - recomputed) > 1e-12), F.size(scores)),
     ]
     return reduce(DataFrame.unionByName, (_rows(rows, name, broken, key, detail) for name, broken, detail in checks))
 
@@ -51,6 +52,28 @@ def not_covered(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return missing.unionByName(_rows(b.join(a, "k", "left_anti"), "id_unexpected", F.lit(True), F.col("k"), F.lit("")))
 
 
+def expected_counts(members: DataFrame, split: str, expected: dict[str, int]) -> DataFrame:
+    """Splits whose number of rows isn't the expected one, missing and unexpected splits included."""
+    told = members.sparkSession.createDataFrame(list(expected.items()), "split string, wanted bigint")
+    counts = members.groupBy(F.col(split).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    rows = told.join(counts, "split", "full").select("split", F.coalesce("wanted", F.lit(0)).alias("wanted"), F.coalesce("n", F.lit(0)).alias("n"))
+    return _rows(rows, "split_count", F.col("wanted") != F.col("n"), F.col("split"), F.concat_ws(",", "wanted", "n"))
+
+
+def candidate_ids_equal(bank: DataFrame, key: str, expected: list[str]) -> DataFrame:
+    """Records whose candidate ids, in order, aren't the expected ones."""
+    ids = F.transform("candidates", lambda c: F.coalesce(c["candidate_id"], F.lit("")))
+    wanted = F.array(*map(F.lit, expected)) if expected else F.array().cast("array<string>")
+    return _rows(bank, "candidate_ids", ~F.coalesce(ids, F.array().cast("array<string>")).eqNullSafe(wanted), F.col(key), F.array_join(F.coalesce(ids, F.array().cast("array<string>")), ","))
+
+
+def role_consistent(rows: DataFrame, lookup: DataFrame, key: str, role: str) -> DataFrame:
+    """Rows whose role isn't the one that the lookup (key, role) has for their id; an id it lacks has none."""
+    told = lookup.select(F.col(key).alias("k"), F.col(role).alias("told")).dropDuplicates(["k"])
+    joined = rows.join(told, F.col(key) == F.col("k"), "left")
+    return _rows(joined, "role_differs", ~F.col(role).eqNullSafe(F.col("told")), F.col(key), F.concat_ws(",", F.coalesce(role, F.lit("-")), F.coalesce("told", F.lit("-"))))
+
+
 def forbidden(df: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     """Texts that hold a forbidden substring."""
     return reduce(DataFrame.unionByName, (_rows(df, "forbidden_text", F.col(text).contains(w), F.col(key), F.lit(w)) for w in words))

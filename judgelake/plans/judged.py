@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from judgelake.functions import parse
 from judgelake.functions import text as X
 from judgelake.functions.num import ratio, six
-from judgelake.operators import flatten, metrics
+from judgelake.operators import audit, flatten, metrics
+from judgelake.plans.verdict_sql import first_shape, passes, reason_sql
 from judgelake.runtime import read_table
 
+PARSED = "model string, sample_id string, num_rules bigint, raw_output string"
+BENCH_RULES = "record_id bigint, question_id string, refined_rubric array<struct<type:string>>"
+
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     return metrics.judged(read_table(spark, d, "predictions"))
@@ -53,38 +57,57 @@ def rule_type_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdict_parse_strict(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "predictions")
+    rows = read_table(spark, d, "predictions", PARSED)
     made = parse.strict(F.col("raw_output"), F.col("num_rules").cast("int"))
     return rows.select("model", "sample_id", F.col("raw_output").isNull().alias("no_output"), X.verdict_letters(made).alias("verdicts"))
 
 
+def verdict_parse_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts as scoring reads them, and the pass that read them."""
+    rows = read_table(spark, d, "predictions", PARSED)
+    text, n = F.col("raw_output"), F.col("num_rules").cast("int")
+    return rows.select("model", "sample_id", X.verdict_letters(parse.relaxed(text, n)).alias("verdicts"), parse.source(text, n).alias("source"))
+
+
 def verdict_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Outputs whose lines name the rules one after the other."""
-    rows = read_table(spark, d, "predictions")
+    rows = read_table(spark, d, "predictions", PARSED)
     made = parse.sequential(F.col("raw_output"), F.col("num_rules").cast("int"))
     return rows.select("model", "sample_id", F.col("raw_output").isNull().alias("no_output"), X.verdict_letters(made).alias("verdicts"))
 
 
 def prediction_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Prediction rows made anew from the raw output: total, matches and exactness; unread outputs have no total."""
-    rows = _rows(spark, d).withColumn("weights", F.expr("array(3, 3, 1, 1, 1, 1)")).filter(F.size("gold") == 6)
-    made = parse.strict(F.col("raw_output"), F.col("num_rules").cast("int"))
-    rows = rows.withColumn("made", made).withColumn("ok", F.col("made").isNotNull())
+    """Prediction rows made anew from the raw output: total, matches and exactness; unread outputs have no total.
+
+    Weights are those of the rules of the question's rubric; where the bench lacks it, or it has another number of
+    rules, each rule weighs 1.
+    """
+    rows = metrics.judged(read_table(spark, d, "predictions", f"{PARSED}, question_id string, gold_verdicts string, pred_verdicts string")).filter("gold is not null")
+    rubrics = flatten.first_of_each(
+        read_table(spark, d, "bench", BENCH_RULES).filter("question_id is not null and size(refined_rubric) > 0").select("question_id", "record_id", flatten.rule_weights(F.col("refined_rubric")).alias("weights")),
+        ["question_id"], ["record_id"],
+    ).drop("record_id")
+    rows = rows.join(rubrics, "question_id", "left")
+    rows = rows.withColumn("weights", F.when(F.size("weights") == F.size("gold"), F.col("weights")).otherwise(F.transform("gold", lambda g: F.lit(1))))
+    rows = rows.withColumn("made", parse.strict(F.col("raw_output"), F.size("gold"))).withColumn("ok", F.col("made").isNotNull())
     same = F.zip_with("gold", "made", lambda a, b: F.when(a == b, 1).otherwise(0))
-    total = lambda a, b: flatten.dot(a, b)
     zero = F.lit(0).cast("bigint")
     return rows.select(
-        "model", "sample_id", "ok", F.when(F.col("ok"), total(F.col("made"), F.col("weights"))).alias("total"),
-        F.when(F.col("ok"), total(same, F.array_repeat(F.lit(1), 6))).otherwise(zero).alias("matches"),
-        F.when(F.col("ok"), total(same, F.col("weights"))).otherwise(zero).alias("weighted_matches"),
+        "model", "sample_id", "ok", F.when(F.col("ok"), flatten.dot(F.col("made"), F.col("weights"))).alias("total"),
+        F.when(F.col("ok"), flatten.dot(same, F.transform("gold", lambda g: F.lit(1)))).otherwise(zero).alias("matches"),
+        F.when(F.col("ok"), flatten.dot(same, F.col("weights"))).otherwise(zero).alias("weighted_matches"),
         F.coalesce(F.col("gold") == F.col("made"), F.lit(False)).alias("exact"),
     )
 
 
+def _reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "predictions", f"{PARSED}, parse_ok boolean").filter(~F.coalesce("parse_ok", F.lit(False)))
+    return rows.select("model", parse.failure(F.col("raw_output"), F.col("num_rules").cast("int"))["reason"].alias("reason"))
+
+
 def parse_failure_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Unread outputs by reason, overall and by judge, in one pass of grouping sets."""
-    rows = read_table(spark, d, "predictions").select("model", parse.failure(F.col("raw_output"), F.col("num_rules").cast("int")).alias("reason"))
-    counts = rows.filter("reason is not null").groupingSets([["reason"], ["model", "reason"]], "model", "reason").agg(F.count(F.lit(1)).alias("n"))
+    counts = _reasons(spark, d).groupingSets([["reason"], ["model", "reason"]], "model", "reason").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("model", "reason", "n")
 
 
@@ -121,15 +144,12 @@ def audit_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    """Preference of questions with exactly two parsed answers of a judge: agreement without ties, ties, score gap."""
-    rows = _rows(spark, d).filter("parse_ok").groupBy("model", "question_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("answer_id", "gold_total_score", "pred_total_score"))).alias("x")
-    ).filter("n = 2")
-    g = F.col("x")[0]["gold_total_score"] - F.col("x")[1]["gold_total_score"]
-    p = F.col("x")[0]["pred_total_score"] - F.col("x")[1]["pred_total_score"]
-    return rows.groupBy("model").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if((g == 0) | (p == 0)).alias("ties"), F.count_if((g != 0) & (p != 0) & (F.signum(g) == F.signum(p))).alias("agree")
+    """Preference of questions with exactly two parsed answers of a judge: agreement without ties, ties of each side."""
+    rows = read_table(spark, d, "predictions", "model string, question_id string, answer_id bigint, gold_total_score bigint, pred_total_score double, parse_ok boolean").filter("parse_ok")
+    items = rows.select(
+        "model", F.col("question_id").alias("pair"), F.col("answer_id").alias("item"), F.lit(True).alias("complete"), F.col("pred_total_score").alias("judge_score"), F.col("gold_total_score").cast("double").alias("human_score")
     )
+    return audit.preferences(items, "model")
 
 
 def judge_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +182,7 @@ def semi_anti_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metric_suite, metric_suite_full_policy, pairwise_order, top_bottom_sets, average_rank, rule_type_accuracy, verdict_parse_strict, verdict_sequences, prediction_rows,
+        metric_suite, metric_suite_full_policy, pairwise_order, top_bottom_sets, average_rank, rule_type_accuracy, verdict_parse_strict, verdict_parse_relaxed, verdict_sequences, prediction_rows,
         parse_failure_reasons, top_failure_reasons, vector_letters, first_lines, audit_agreement, audit_pairwise, judge_ranking, dedup_predictions, semi_anti_ids,
     )
 }
@@ -233,18 +253,7 @@ _LINES = """base AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM pred
     vec AS (SELECT id, count(*) AS n, min(rule) AS lo, max(rule) AS hi, list(v ORDER BY rule) AS vs FROM lastv GROUP BY 1),
     made AS (SELECT base.*, CASE WHEN vec.n = base.num_rules AND lo = 1 AND hi = base.num_rules THEN vs END AS vs FROM base LEFT JOIN vec USING (id))"""
 
-_S = "(?i)^Rule\\s*(\\d+)\\s*:\\s*.*?\\bVerdict\\s*:\\s*(Yes|No|Y|N)$"
-_R1 = "(?i)^(?:[-*•]\\s*)?Rule\\s*(\\d+)\\s*[:.)-]?.*?\\bVerdict\\s*[:=-]?\\s*(yes|no|y|n|true|false|0|1)\\b"
-_R2 = "(?i)^(?:[-*•]\\s*)?Rule\\s*(\\d+)\\s*[:.)-]?.*?\\b(yes|no|y|n|true|false)[.]?$"
-_REASONS = f"""{_LINES},
-    f AS (SELECT id, TRY_CAST(nullif(regexp_extract(line, '{_S}', 1), '') AS INT) AS s,
-            coalesce(TRY_CAST(nullif(regexp_extract(line, '{_R1}', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(line, '{_R2}', 1), '') AS INT)) AS r FROM l2),
-    g AS (SELECT id, list_sort(list(DISTINCT s) FILTER (s IS NOT NULL)) AS ss, list_sort(list(DISTINCT r) FILTER (r IS NOT NULL)) AS rs FROM f GROUP BY 1),
-    e AS (SELECT model, num_rules AS n, range(1, num_rules + 1) AS want, g.id IS NULL AS blank, coalesce(ss, []) AS ss, coalesce(rs, []) AS rs, list_distinct(list_concat(coalesce(ss, []), coalesce(rs, []))) AS every
-          FROM base LEFT JOIN g USING (id)),
-    w AS (SELECT model, CASE WHEN ss = want OR rs = want THEN NULL WHEN blank THEN 'empty' WHEN len(every) = 0 THEN 'no_verdicts'
-            WHEN len(list_filter(want, lambda i: NOT list_contains(every, i))) > 0 AND len(list_filter(every, lambda i: i < 1 OR i > n)) > 0 THEN 'mixed'
-            WHEN len(list_filter(every, lambda i: i < 1 OR i > n)) > 0 THEN 'extra_rules' ELSE 'missing_rules' END AS reason FROM e)"""
+_REASONS = f"""w AS (SELECT model, {reason_sql('raw_output', 'num_rules')} AS reason FROM predictions WHERE NOT coalesce(parse_ok, false))"""
 
 ORACLE = {
     "parse_failure_reasons": f"WITH {_REASONS} SELECT model, reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY GROUPING SETS ((reason), (model, reason))",
@@ -262,19 +271,31 @@ ORACLE = {
         SELECT model, {', '.join(f"round(CASE WHEN count(*) FILTER (t = '{t}'{c}) = 0 THEN 0.0 ELSE CAST(count(*) FILTER (t = '{t}' AND same) AS DOUBLE) / count(*) FILTER (t = '{t}'{c}) END, 6) AS {t}_accuracy_{n}" for n, c in (('all', ''), ('parsed', ' AND ok')) for t in ('hard', 'soft'))} FROM u GROUP BY 1""",
     "verdict_parse_strict": f"""WITH {_LINES} SELECT model, sample_id, raw_output IS NULL AS no_output,
         coalesce(array_to_string(list_transform(vs, lambda v: CASE WHEN v = 1 THEN 'Y' ELSE 'N' END), ''), '') AS verdicts FROM made""",
-    "prediction_rows": f"""WITH {_LINES}, g AS (SELECT *, CAST(gold_verdicts AS INT[]) AS gold, [3, 3, 1, 1, 1, 1] AS w FROM made WHERE len(CAST(nullif(trim(gold_verdicts), '') AS INT[])) = 6)
-        SELECT model, sample_id, vs IS NOT NULL AS ok, CASE WHEN vs IS NOT NULL THEN CAST(list_sum(list_transform(range(1, 7), lambda i: vs[i] * w[i])) AS BIGINT) END AS total,
-          CASE WHEN vs IS NOT NULL THEN CAST(list_sum(list_transform(range(1, 7), lambda i: CASE WHEN vs[i] = gold[i] THEN 1 ELSE 0 END)) AS BIGINT) ELSE 0 END AS matches,
-          CASE WHEN vs IS NOT NULL THEN CAST(list_sum(list_transform(range(1, 7), lambda i: CASE WHEN vs[i] = gold[i] THEN w[i] ELSE 0 END)) AS BIGINT) ELSE 0 END AS weighted_matches, coalesce(vs = gold, false) AS exact FROM g""",
+    "verdict_parse_relaxed": f"""{passes('', 'SELECT model, sample_id, raw_output, num_rules FROM predictions')}
+        SELECT model, sample_id, coalesce(array_to_string(list_transform(vs, lambda v: CASE WHEN v = 1 THEN 'Y' ELSE 'N' END), ''), '') AS verdicts, source FROM parsed""",
+    "verdict_sequences": f"""WITH base AS MATERIALIZED (SELECT model, sample_id, raw_output, num_rules, row_number() OVER () AS id FROM predictions),
+        l AS (SELECT id, list_filter(list_transform(string_split_regex(coalesce(raw_output, ''), '[\n\r]'), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '') AS ls FROM base),
+        l2 AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM l),
+        h AS MATERIALIZED (SELECT id, ln, TRY_CAST({first_shape('line', parse.SEQUENCE, 1)} AS INT) AS rule, CASE WHEN lower({first_shape('line', parse.SEQUENCE, 2)}) IN ('yes', 'y') THEN 1 ELSE 0 END AS v FROM l2),
+        r AS (SELECT a.id, a.ln AS start, count(*) AS k, list(b.v ORDER BY b.ln) AS vs FROM (SELECT * FROM h WHERE rule = 1) a JOIN base USING (id) JOIN h b ON a.id = b.id AND b.ln BETWEEN a.ln AND a.ln + num_rules - 1 AND b.rule = b.ln - a.ln + 1 GROUP BY 1, 2),
+        f AS (SELECT r.id, arg_min(vs, start) AS vs FROM r JOIN base USING (id) WHERE k = num_rules GROUP BY 1)
+        SELECT model, sample_id, raw_output IS NULL AS no_output, coalesce(array_to_string(list_transform(vs, lambda v: CASE WHEN v = 1 THEN 'Y' ELSE 'N' END), ''), '') AS verdicts FROM base LEFT JOIN f USING (id)""",
+    "prediction_rows": f"""WITH b AS (SELECT question_id AS qid, arg_min(list_transform(refined_rubric, lambda r: CASE WHEN r.type = 'hard' THEN 3 ELSE 1 END), record_id) AS ws FROM bench WHERE question_id IS NOT NULL AND len(refined_rubric) > 0 GROUP BY 1),
+        {_LINES.replace('AS id FROM predictions)', "AS id FROM (SELECT * REPLACE (len(CAST(nullif(trim(gold_verdicts), '') AS INT[])) AS num_rules) FROM predictions WHERE trim(gold_verdicts) <> ''))")},
+        g AS (SELECT made.*, CAST(gold_verdicts AS INT[]) AS gold, ws FROM made LEFT JOIN b ON question_id = qid),
+        h AS (SELECT *, CASE WHEN len(ws) = len(gold) THEN ws ELSE list_transform(gold, lambda x: 1) END AS w FROM g)
+        SELECT model, sample_id, vs IS NOT NULL AS ok, CASE WHEN vs IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(range(1, len(gold) + 1), lambda i: vs[i] * w[i])), 0) AS BIGINT) END AS total,
+          CASE WHEN vs IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(range(1, len(gold) + 1), lambda i: CASE WHEN vs[i] = gold[i] THEN 1 ELSE 0 END)), 0) AS BIGINT) ELSE 0 END AS matches,
+          CASE WHEN vs IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(range(1, len(gold) + 1), lambda i: CASE WHEN vs[i] = gold[i] THEN w[i] ELSE 0 END)), 0) AS BIGINT) ELSE 0 END AS weighted_matches, coalesce(vs = gold, false) AS exact FROM h""",
     "vector_letters": f"""WITH {_P} SELECT coalesce(array_to_string(list_transform(gold, lambda v: CASE WHEN v = 1 THEN 'Y' ELSE 'N' END), ''), '') = gold_vector_yn AS gold_same,
         coalesce(array_to_string(list_transform(pred, lambda v: CASE WHEN v = 1 THEN 'Y' ELSE 'N' END), ''), '') = coalesce(pred_vector_yn, '') AS pred_same, count(*) AS n FROM p GROUP BY 1, 2""",
     "first_lines": """SELECT model, sample_id, coalesce(list_filter(list_transform(string_split_regex(coalesce(raw_output, ''), '[\\n\\r]'), lambda s: trim(s, ' ' || chr(9))), lambda s: s <> '')[1], '') AS first_line FROM predictions""",
     "audit_agreement": f"""WITH {_P}, u AS (SELECT i - 1 AS rule, gold[i] AS g, pred[i] AS h FROM (SELECT gold, pred, unnest(range(1, len(gold) + 1)) AS i FROM p WHERE len(pred) = len(gold)))
         SELECT rule, count(*) AS n, count(*) FILTER (g = h) AS same, count(*) FILTER (g = 1 AND h = 0) AS yes_no, count(*) FILTER (g = 0 AND h = 1) AS no_yes,
           round(CAST(count(*) FILTER (g = h) AS DOUBLE) / count(*), 6) AS agreement FROM u GROUP BY GROUPING SETS ((), (rule))""",
-    "audit_pairwise": f"""WITH {_P}, k AS (SELECT model, question_id, count(*) AS n, list({{'a': answer_id, 'g': gold_total_score, 'h': pred_total_score}} ORDER BY answer_id, gold_total_score, pred_total_score) AS x FROM p WHERE ok GROUP BY 1, 2 HAVING count(*) = 2)
-        SELECT model, count(*) AS pairs, count(*) FILTER (x[1].g = x[2].g OR x[1].h = x[2].h) AS ties,
-          count(*) FILTER (x[1].g <> x[2].g AND x[1].h <> x[2].h AND sign(x[1].g - x[2].g) = sign(x[1].h - x[2].h)) AS agree FROM k GROUP BY 1""",
+    "audit_pairwise": f"""WITH {_P}, k AS (SELECT model, question_id, count(*) AS n, list({{'a': answer_id, 'h': pred_total_score, 'g': gold_total_score}} ORDER BY answer_id, pred_total_score, gold_total_score) AS x FROM p WHERE ok GROUP BY 1, 2 HAVING count(*) = 2),
+        v AS (SELECT model, sign(x[1].g - x[2].g) AS g, sign(x[1].h - x[2].h) AS h FROM k)
+        SELECT model, count(*) FILTER (g <> 0 AND h <> 0) AS pairs, count(*) FILTER (g <> 0 AND h <> 0 AND g = h) AS agree, count(*) FILTER (g = 0) AS human_ties, count(*) FILTER (h = 0) AS judge_ties FROM v GROUP BY 1""",
     "judge_ranking": """WITH b AS (SELECT model, regexp_replace(model, '_(?:seed\\d+_)?(?:dev|test|heldout)\\d+$', '') AS base, count(*) AS n, sum(gold_total_score) AS points FROM predictions GROUP BY 1),
         k AS (SELECT *, regexp_extract(base, '^judge-(.+?)-(?:probe|gen|logprob|ck\\d+)$', 1) AS family, regexp_extract(base, '-(probe|gen|logprob|ck)\\d*$', 1) AS kind FROM b)
         SELECT model, family, kind, CAST(CASE kind WHEN 'probe' THEN 0 WHEN 'logprob' THEN 1 WHEN 'gen' THEN 2 WHEN 'ck' THEN 3 ELSE 999 END AS BIGINT) AS kind_rank, n, round(CAST(points AS DOUBLE) / n, 6) AS mean_points FROM k""",

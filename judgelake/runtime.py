@@ -30,13 +30,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (tests, local runs) a temporary one is made."""
+    """The folder of spark.checkpoint.dir. Where that is unset a temporary one is made, but only in a local session: on a
+    cluster the executors don't share this machine's folders, so that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="judgelake-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,25 +44,55 @@ def vector_cells(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str, keys: tuple[str, ...] = ("question_ids", "ids", "train", "dev", "test", "full")) -> DataFrame:
-    """Distinct ids of a list: lines with # comments, a JSON array, or a JSON object with one of the known keys."""
+    """Distinct ids of a list: lines with # comments, a JSON array, or a JSON object with one of the known keys; an object
+    without any of them is an error."""
     text = spark.read.option("wholetext", True).text(path).withColumn("value", F.trim("value"))
     listed = F.from_json("value", "array<string>")
     known = F.from_json("value", ", ".join(f"`{k}` array<string>" for k in keys))
-    of_key = F.coalesce(*[known[k] for k in keys])
+    unknown = F.raise_error(F.lit(f"none of the keys {', '.join(keys)} in the id list")).cast("array<string>")
+    of_key = F.coalesce(*[known[k] for k in keys], unknown)
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(F.regexp_replace(s, "#.*$", ""))), lambda s: s != "")
     ids = F.when(F.col("value").startswith("["), listed).when(F.col("value").startswith("{"), of_key).otherwise(lines)
     return text.select(F.explode(ids).alias("id")).filter("id is not null").distinct()
 
 
+def required_ids(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """Distinct ids of a field that every object of a file of lines must have; an error names the first line without it."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    ids = lines.select("value", F.get_json_object("value", f"$.{field}").alias("id"))
+    missing = F.coalesce(F.trim("id"), F.lit("")) == ""
+    bad = ids.filter(missing).select("value").limit(1).collect()
+    if bad:  # only now are lines numbered
+        at = spark.read.text(path).rdd.zipWithIndex().filter(lambda x: x[0][0] == bad[0]["value"]).map(lambda x: x[1] + 1).min()
+        raise ValueError(f"no {field} in line {at}")
+    return ids.select("id").distinct()
+
+
+def template(spark: SparkSession, path: str) -> str:
+    """Text of one template file."""
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
+def artifact(spark: SparkSession, path: str, required: list[str]) -> dict:
+    """One JSON object with keys that must be there."""
+    made = json.loads(template(spark, path))
+    missing = [k for k in required if k not in made]
+    if missing:
+        raise ValueError(f"the artifact lacks {', '.join(missing)}")
+    return made
+
+
 def run_summaries(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """JSON objects of many result folders with the folder's name."""
     return json_array(spark, pattern, schema).withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
 def first_present(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """The first source that exists."""
+    """The first source that exists, in whatever file system its path names."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        if os.path.exists(path):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(conf).exists(target):
             return json_lines(spark, path, schema) if path.endswith((".jsonl", ".json")) else spark.read.schema(schema).parquet(path)
     raise FileNotFoundError(", ".join(paths))
 

@@ -6,8 +6,11 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from judgelake.runtime import Stage
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -48,9 +51,13 @@ def markdown(df: DataFrame, path: str, title: str, most: int = 1000) -> None:
 
 
 def markdown_chunks(df: DataFrame, order: str, text: str, path: str, size: int) -> None:
-    """size items a file, in order; the place of an item comes from a range partitioned sort, the texts stay distributed."""
-    numbered = df.select(order, text).sort(order).rdd.zipWithIndex().map(lambda x: (x[1] // size, x[0][0], x[0][1]))
-    chunks = numbered.toDF(["chunk", "o", "t"]).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("o", "t")))["t"].alias("ts"))
+    """size items a file, in order. Rows are put in ranges of the order and numbered by the sizes of the ranges before, so
+    that neither a text nor a sort of all rows meets one task."""
+    ranges = Stage(df.sparkSession).keep(df.select(F.col(order).alias("o"), F.col(text).alias("t")).repartitionByRange("o").withColumn("r", F.spark_partition_id()))
+    sizes = ranges.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("r", (F.sum("n").over(W.orderBy("r")) - F.col("n")).alias("base"))
+    place = F.col("base") + F.row_number().over(W.partitionBy("r").orderBy("o", "t")) - 1
+    chunks = ranges.join(before, "r").withColumn("chunk", F.floor(place / size)).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("o", "t")))["t"].alias("ts"))
     chunks.select("chunk", F.array_join("ts", "\n\n---\n\n").alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
 
 
@@ -63,7 +70,9 @@ def report_set(report: DataFrame, predictions: DataFrame, config: dict[str, obje
     spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}/run_config")
 
 
-def manifest(members: DataFrame, key: str, split: str, answers: str | None = None) -> DataFrame:
-    """(split, questions, answers, ids): counts and sorted ids of each split."""
+def manifest(members: DataFrame, key: str, split: str, answers: str | None = None, ids: bool = True) -> DataFrame:
+    """(split, questions, answers, ids): counts and, unless left out, sorted ids of each split. Of splits too large for
+    one cell the ids belong in a table of their own."""
     n = F.sum(F.size(answers)) if answers else F.lit(None).cast("bigint")
-    return members.groupBy(split).agg(F.count_distinct(key).alias("questions"), n.alias("answers"), F.sort_array(F.collect_set(key)).alias("ids"))
+    listed = [F.sort_array(F.collect_set(key)).alias("ids")] if ids else []
+    return members.groupBy(split).agg(F.count_distinct(key).alias("questions"), n.alias("answers"), *listed)
