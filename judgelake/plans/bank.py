@@ -359,6 +359,8 @@ _SWEEP = f"""WITH {_PR}, g AS (SELECT prob AS threshold, sum(label) AS pos, sum(
     v AS (SELECT threshold, tp, called - tp AS fp, ap - tp AS fn, am - ap - called + tp AS tn FROM u),
     z AS (SELECT *, {_classes(exact=True)}, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy FROM v)"""
 
+#: White space of any script, within brackets.
+_BLANK = "\\s\\x0b\\pZ\\x{85}"
 _PRIVILEGED = """concat_ws(chr(10) || chr(10), CASE WHEN len(rubric) > 0 THEN 'You should follow the given rubrics to answer the question. Positive weights indicate criteria you should satisfy. Negative weights indicate criteria you should avoid.'
           || chr(10) || chr(10) || array_to_string(list_transform(rubric, lambda r: '  - ' || coalesce(r.title, '') || ': ' || coalesce(r.description, '') || ' (weight: ' || CASE WHEN coalesce(r.weight, 1.0) > 0 THEN '+' ELSE '' END || CAST(coalesce(r.weight, CAST(1.0 AS DOUBLE)) AS VARCHAR) || ')'), chr(10)) END,
         CASE WHEN coalesce(reference_answer, '') <> '' THEN 'You should refer to the following reference answer:' || chr(10) || chr(10) || reference_answer END)"""
@@ -438,7 +440,7 @@ ORACLE = {
     "weighted_score": f"WITH {_C} SELECT record_id, cand_pos, round({_WS('s', 'w')}, 6) AS score FROM (SELECT *, c.reward_result.criterion_scores AS s, c.reward_result.criterion_weights AS w FROM c WHERE c.reward_result IS NOT NULL)",
     "candidate_text_profile": f"""WITH {_C} SELECT c.candidate_id AS candidate_id, count(*) AS n, round(avg(length(c.response)), 6) AS mean_chars, max(length(c.response)) AS max_chars, count(*) FILTER (contains(c.response, '<think>')) AS think_open,
         count(*) FILTER (contains(c.response, '</think>')) AS think_closed, count(*) FILTER (contains(c.response, '<think>') AND NOT contains(c.response, '</think>')) AS think_unclosed,
-        CAST(sum(CASE WHEN c.response IS NULL THEN NULL WHEN regexp_replace(c.response, '^[\\s\\x{{a0}}\\x{{200b}}]+|[\\s\\x{{a0}}]+$', '', 'g') = '' THEN 0 ELSE floor(len(string_split_regex(regexp_replace(c.response, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'), '[\\s\\x{{a0}}]+')) * 1.3) END) AS BIGINT) AS rough_tokens
+        CAST(sum(CASE WHEN c.response IS NULL THEN NULL WHEN regexp_replace(c.response, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') = '' THEN 0 ELSE floor(len(string_split_regex(regexp_replace(c.response, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g'), '[{_BLANK}]+')) * 1.3) END) AS BIGINT) AS rough_tokens
         FROM c WHERE c.candidate_id IS NOT NULL GROUP BY 1""",
     "score_summary": f"WITH {_C} SELECT lower(trim(c.model_name)) AS model, count(*) AS n, round(avg(c.score), 6) AS mean, round(min(c.score), 6) AS min, round(max(c.score), 6) AS max FROM c WHERE c.score IS NOT NULL GROUP BY 1",
     "run_summary": f"""WITH {_C} SELECT coalesce(c.reward_result.parse_source, 'none') AS parse_source, count(*) AS samples, count(*) FILTER (coalesce(c.reward_result.num_parse_failures, 0) = 0) AS clean,

@@ -230,7 +230,7 @@ ORACLE = {
         SELECT record_id, 'Question:' || chr(10) || q || chr(10) || chr(10) || 'Criterion: ' || coalesce(rubric[1].title, '') || chr(10) || coalesce(rubric[1].description, '') || chr(10) || chr(10) || 'Response:' || chr(10) || a || chr(10) || chr(10) || 'Does the response meet the criterion? End with \\boxed{{1}} or \\boxed{{0}}.' AS one,
           'Question:' || chr(10) || q || chr(10) || chr(10) || 'Rules (' || len(rubric) || '):' || chr(10) || listed || chr(10) || chr(10) || 'Response:' || chr(10) || a || chr(10) || chr(10) || 'For every rule write one line: Rule i: <reason>. Verdict: Yes or No' AS "all",
           'Question:' || chr(10) || q || chr(10) || chr(10) || 'Criteria:' || chr(10) || listed || chr(10) || chr(10) || 'Response:' || chr(10) || a || chr(10) || chr(10) || 'Rate the response from 1 to 10. End with \\boxed{{score}}.' AS overall,
-          replace(replace(replace('Q: {{question}} / A: {{response}} / {{rubric}}', '{{question}}', q), '{{response}}', a || ' {{rubric}}'), '{{rubric}}', listed) AS legacy, trim(regexp_replace(a, '[\\r\\n]+', ' ', 'g'), ' ' || chr(9)) AS clean FROM b""",
+          replace(replace(replace('Q: {{question}} / A: {{response}} / {{rubric}}', '{{question}}', q), '{{response}}', a || ' {{rubric}}'), '{{rubric}}', listed) AS legacy, regexp_replace(regexp_replace(a, '[\\r\\n]+', ' ', 'g'), '^[\\s\\pZ\\x{{85}}]+|[\\s\\pZ\\x{{85}}]+$', '', 'g') AS clean FROM b""",
     "bench_criteria": """WITH u AS (SELECT record_id, i - 1 AS pos, refined_rubric[i] AS r FROM (SELECT record_id, refined_rubric, unnest(range(1, len(refined_rubric) + 1)) AS i FROM bench)),
         v AS (SELECT record_id, pos, trim(regexp_replace(coalesce(r.rubric, ''), '\\s+', ' ', 'g')) AS t, coalesce(r.type = 'hard', false) AS h FROM u WHERE r IS NOT NULL)
         SELECT record_id, pos, 'The response satisfies this ' || CASE WHEN h THEN 'hard' ELSE 'soft' END || ' rule: ' || t AS canonical, t || CASE WHEN h THEN ' [Hard Rule]' ELSE ' [Soft Rule]' END AS "full" FROM v""",

@@ -50,10 +50,15 @@ def test_both_origins_hold_every_node(spark):
     made += map(tuple, criteria.filter("node is not null").select(*keys, "cand_pos", "crit_pos").collect())
     assert sorted(made) == found
     assert {r[0] for r in made if r[3] >= 0} == {"response_bank", "bank_lines"}
-    for df, name in ((candidates, "p2_candidates"), (criteria, "p2_criteria")):
-        extract = registry.QUERIES[name](spark, str(DATA))
-        same = [c if c not in ("parse_source", "judge_attempts") else f"result_{c}" for c in extract.columns]
-        assert sorted(map(repr, df.filter("origin = 'response_bank' and kind is not null").select(*same).toDF(*extract.columns).collect())) == sorted(map(repr, extract.collect()))
+    by_adjacency = {t: registry.QUERIES[f"p2_{t}"](spark, str(DATA)) for t in ("records", "candidates", "criteria")}
+    assert sorted(map(repr, records.select("origin", "record_id", "node", "kind").collect())) == sorted(map(repr, by_adjacency["records"].collect()))
+    for df, table in ((candidates, "candidates"), (criteria, "criteria")):
+        extract = by_adjacency[table].withColumnRenamed("candidate_node", "parent")
+        same = [c if c not in ("parse_source", "judge_attempts", "fallback_used") else f"result_{c}" for c in extract.columns]
+        assert sorted(map(repr, df.filter("node is not null").select(*same).toDF(*extract.columns).collect())) == sorted(map(repr, extract.collect()))
+    for name in ("p2_typed_candidates", "p2_typed_criteria"):
+        plan = registry.QUERIES[name](spark, str(DATA))._jdf.queryExecution().toString()
+        assert "bank_lines" not in plan
     for child, parent in ((candidates, records), (criteria, candidates)):
         held = parent.select(*keys, parent["node"].alias("parent"))
         assert child.join(held, [*keys, "parent"], "left_anti").count() == 0
