@@ -11,10 +11,11 @@ ordinary text; long texts are encoded whole; repeated doc_ids give repeated rows
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -38,9 +39,8 @@ def byte_letters() -> dict[str, int]:
 class MergeReplay:
     """Merge ranks of one vocabulary and the ids of the pre-tokens met so far."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, content: bytes) -> None:
+        model = json.loads(content)["model"]
         vocabulary = model["vocab"]
         self.of_byte = [0] * 256
         for letter, byte in byte_letters().items():
@@ -116,19 +116,35 @@ class MergeReplay:
         return out
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str) -> MergeReplay:
-    return MergeReplay(path)
+#: Vocabularies of this worker, by digest of their file.
+_LOADED: dict[str, MergeReplay] = {}
+
+
+def _loaded(digest: str, content: Callable[[], bytes]) -> MergeReplay:
+    if digest not in _LOADED:
+        _LOADED.clear()
+        _LOADED[digest] = MergeReplay(content())
+    return _LOADED[digest]
+
+
+#: Bytes of the largest vocabulary file that is sent to the workers.
+LARGEST = 64_000_000
 
 
 def encode_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY, rows: int = 1000) -> DataFrame:
     """(doc_id, ids) of every document. A narrow map over Arrow batches: no shuffle, one pass over the texts.
 
-    rows: documents encoded at a time, which bounds the memory of a worker whatever the batch size.
+    rows: documents encoded at a time, which bounds the memory of a worker whatever the batch size. The vocabulary file is
+    read by the driver and sent to the workers.
     """
 
+    content = Path(vocabulary).read_bytes()
+    if len(content) > LARGEST:
+        raise ValueError(f"the vocabulary file has more than {LARGEST} bytes")
+    digest, shared = hashlib.sha256(content).hexdigest(), documents.sparkSession.sparkContext.broadcast(content)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(vocabulary)
+        model = _loaded(digest, lambda: shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
