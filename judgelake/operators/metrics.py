@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from judgelake.functions.num import f1, mcc, pearson, ratio, six
+from judgelake.runtime import Stage
 
 
 #: Ranges of probability of a threshold sweep.
@@ -83,10 +84,10 @@ def average_ranks(rows: DataFrame, value: str, by: str) -> DataFrame:
     return counts.select(by, value, "c", (F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).alias("rank"))
 
 
-def spearman(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """(by, spearman): Pearson of average ranks, over counted pairs of values."""
-    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    grid = known.groupBy(by, "x", "y").agg(F.count(F.lit(1)).alias("m"))
+def spearman(rows: DataFrame, x: str, y: str, by: str, times: str | None = None) -> DataFrame:
+    """(by, spearman): Pearson of average ranks, over counted pairs of values. times: how often each row counts."""
+    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(times) if times else F.lit(1)).alias("w"))
+    grid = known.groupBy(by, "x", "y").agg(F.sum("w").alias("m"))
     total = lambda c: F.sum("m").over(W.partitionBy(by, c))
     below = lambda c: F.sum("m").over(W.partitionBy(by).orderBy(c).rangeBetween(W.unboundedPreceding, W.currentRow)) - total(c)
     ranked = grid.select(by, "m", (below("x") + (total("x") + 1) / 2).alias("rx"), (below("y") + (total("y") + 1) / 2).alias("ry"))
@@ -98,31 +99,67 @@ def spearman(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return s.select(by, ratio(cov, F.sqrt(vx) * F.sqrt(vy)).alias("spearman"))
 
 
+def score_cells(rows: DataFrame, by: str = "model") -> DataFrame:
+    """(by, question_id, answer_id, ok, g, p, m): how often each pair of totals occurs for an answer. Ordering figures and
+    rank correlations need nothing else of the rows."""
+    ok = F.coalesce(F.col("parse_ok"), F.lit(False)).alias("ok")
+    return rows.groupBy(by, "question_id", "answer_id", ok, F.col("gold_total_score").cast("double").alias("g"), F.col("pred_total_score").cast("double").alias("p")).agg(F.count(F.lit(1)).alias("m"))
+
+
 def question_figures(rows: DataFrame, by: str = "model") -> DataFrame:
-    """Per group and question with two rows or more: pairs, pairs in the same order, whether the best and worst sets meet.
+    """Per group and question with two rows or more: pairs, pairs in the same order, whether the best and worst sets meet."""
+    return figures_of_cells(score_cells(rows, by), by)
+
+
+#: Distinct pairs of totals of a question that are compared with one another in its row.
+FEW_CELLS = 128
+
+
+def _ordered_few(cells: DataFrame, by: str) -> DataFrame:
+    """(by, question_id, ordered): pairs in the same strict order, of questions with few cells: all are compared."""
+    c = F.col("cells")
+    same = lambda a, b: (a["g"] - b["g"]) * (a["p"] - b["p"]) > 0
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    cross = F.transform(c, lambda a, i: total(F.transform(F.slice(c, i + 2, F.size(c)), lambda b: F.when(same(a, b), a["m"] * b["m"]).otherwise(F.lit(0)).cast("bigint"))))
+    return cells.groupBy(by, "question_id").agg(F.collect_list(F.struct("g", "p", "m")).alias("cells")).select(by, "question_id", total(cross).alias("ordered"))
+
+
+def _ordered_many(cells: DataFrame, by: str) -> DataFrame:
+    """The same without comparing all cells: two predicted totals differ at one highest bit of their ranks, so at each bit
+    the cells with a 1 meet those with a 0 and the same higher bits in running counts by gold total."""
+    rank = F.dense_rank().over(W.partitionBy(by, "question_id").orderBy("p")) - 1
+    ranked = cells.filter("g is not null and p is not null").withColumn("r", rank)
+    bits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("n_cells"), F.lit(1)))).cast("int"))
+    each = ranked.select(by, "question_id", "g", "m", "r", F.explode(bits).alias("bit"))
+    each = each.select(by, "question_id", "g", "m", "bit", F.expr("shiftright(r, bit + 1)").alias("head"), (F.expr("shiftright(r, bit)") % 2).alias("high"))
+    counts = each.groupBy(by, "question_id", "bit", "head", "g").agg(F.sum(F.when(F.col("high") == 0, F.col("m")).otherwise(0)).alias("low"), F.sum(F.when(F.col("high") == 1, F.col("m")).otherwise(0)).alias("up"))
+    below = F.coalesce(F.sum("low").over(W.partitionBy(by, "question_id", "bit", "head").orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("below", below).groupBy(by, "question_id").agg(F.sum(F.col("below") * F.col("up")).alias("ordered"))
+
+
+def figures_of_cells(counted: DataFrame, by: str = "model", few: int = FEW_CELLS) -> DataFrame:
+    """question_figures out of score_cells.
 
     Pairs come from counts of (gold, pred) values, not from a self join: a question's rows, however many, are first
-    counted by value, and only distinct values are compared.
+    counted by value, and only distinct values are compared, many of them by running counts.
     """
-    ok = F.coalesce(F.col("parse_ok"), F.lit(False))
-    whole = rows.groupBy(by, "question_id").agg(F.count(F.lit(1)).alias("n_all"), F.bool_and(ok).alias("full"))
+    whole = counted.groupBy(by, "question_id").agg(F.sum("m").alias("n_all"), F.bool_and("ok").alias("full"))
     whole = whole.filter("n_all >= 2")
-    read = rows.filter(ok).select(by, "question_id", "answer_id", F.col("gold_total_score").cast("double").alias("g"), F.col("pred_total_score").cast("double").alias("p"))
-    cells = read.groupBy(by, "question_id", "g", "p").agg(F.count(F.lit(1)).alias("m"))
+    read = counted.filter("ok").select(by, "question_id", "answer_id", "g", "p", "m")
+    cells = read.groupBy(by, "question_id", "g", "p").agg(F.sum("m").alias("m"))
+    floor_pairs = lambda n: F.floor(n * (n - 1) / 2).cast("bigint")
     per = cells.groupBy(by, "question_id").agg(
-        F.sum("m").alias("n_ok"), F.collect_list(F.struct("g", "p", "m")).alias("cells"), *[f(x).alias(f"{x}_{name}") for x in "gp" for name, f in (("max", F.max), ("min", F.min))]
+        F.sum("m").alias("n_ok"), F.sum(floor_pairs(F.col("m"))).alias("within"), F.count(F.lit(1)).alias("n_cells"), *[f(x).alias(f"{x}_{name}") for x in "gp" for name, f in (("max", F.max), ("min", F.min))]
     ).filter("n_ok >= 2")
-    c = F.col("cells")
-    same = lambda a, b: F.signum(a["g"] - b["g"]) == F.signum(a["p"] - b["p"])
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    cross = F.transform(c, lambda a, i: total(F.transform(F.slice(c, i + 2, F.size(c)), lambda b: F.when(same(a, b), a["m"] * b["m"]).otherwise(F.lit(0)).cast("bigint"))))
-    within = total(F.transform(c, lambda a: F.floor(a["m"] * (a["m"] - 1) / 2).cast("bigint")))
+    sized = cells.join(per.select(by, "question_id", "n_cells"), [by, "question_id"])
+    ordered = _ordered_few(sized.filter(F.col("n_cells") <= few), by).unionByName(_ordered_many(sized.filter(F.col("n_cells") > few), by))
     # The best and worst sets meet if one answer is in both; answers are reduced to four marks each, no set is collected.
     marks = read.join(per.select(by, "question_id", "g_max", "p_max", "g_min", "p_min"), [by, "question_id"]).groupBy(by, "question_id", "answer_id").agg(
         *[F.max(F.when(F.col(x) == F.col(f"{x}_{e}"), 1).otherwise(0)).alias(f"{x}{e}") for x in "gp" for e in ("max", "min")]
     )
     edges = marks.groupBy(by, "question_id").agg(F.bool_or((F.col("gmax") == 1) & (F.col("pmax") == 1)).alias("top"), F.bool_or((F.col("gmin") == 1) & (F.col("pmin") == 1)).alias("bottom"))
-    per = per.select(by, "question_id", F.floor(F.col("n_ok") * (F.col("n_ok") - 1) / 2).cast("bigint").alias("pairs"), (total(cross) + within).alias("right")).join(edges, [by, "question_id"])
+    right = (F.coalesce("ordered", F.lit(0)) + F.col("within")).cast("bigint").alias("right")
+    per = per.join(ordered, [by, "question_id"], "left").select(by, "question_id", floor_pairs(F.col("n_ok")).alias("pairs"), right).join(edges, [by, "question_id"])
     joined = whole.join(per, [by, "question_id"], "left")
     return joined.withColumn("pairs_all", F.floor(F.col("n_all") * (F.col("n_all") - 1) / 2).cast("bigint"))
 
@@ -131,7 +168,10 @@ def ordering_metrics(rows: DataFrame, policy: str = "partial", by: str = "model"
     """Pair, top and bottom agreement. policy "full": only fully parsed questions count for the *_all_questions figures."""
     if policy not in ("partial", "full"):
         raise ValueError("policy is partial or full")
-    q = question_figures(rows, by)
+    return _ordering(question_figures(rows, by), policy, by)
+
+
+def _ordering(q: DataFrame, policy: str, by: str) -> DataFrame:
     judged_ = F.col("pairs").isNotNull()
     counted = judged_ if policy == "partial" else judged_ & F.col("full")
     s = q.groupBy(by).agg(
@@ -154,9 +194,12 @@ def ordering_metrics(rows: DataFrame, policy: str = "partial", by: str = "model"
 
 
 def metric_suite(rows: DataFrame, policy: str = "partial", by: str = "model") -> DataFrame:
-    """All figures of each judge in one row."""
-    ranks = spearman(rows.filter("parse_ok"), "gold_total_score", "pred_total_score", by)
-    order = ordering_metrics(rows, policy, by)
+    """All figures of each judge in one row: one pass for sums, one for the cells, which are kept for ranks and orders."""
+    if policy not in ("partial", "full"):
+        raise ValueError("policy is partial or full")
+    cells = Stage(rows.sparkSession).keep(score_cells(rows, by))
+    ranks = spearman(cells.filter("ok"), "g", "p", by, "m")
+    order = _ordering(figures_of_cells(cells, by), policy, by)
     joined = basic_metrics(rows, by).join(ranks, by, "left").join(order, by, "left")
     return joined.withColumn("score_spearman", six(F.coalesce("spearman", F.lit(0.0)))).drop("spearman").na.fill(0)
 

@@ -1,11 +1,10 @@
-"""Weighted scores and reward results."""
+"""Weighted scores and log sums."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from judgelake.functions import parse
 from judgelake.functions.num import ratio
 
 
@@ -28,23 +27,6 @@ def fallback_verdicts(rubric: Column, threshold: float = 5.0) -> Column:
     return F.transform(rubric, lambda r: F.when(F.coalesce(r["weight"], F.lit(0.0)) >= threshold, 1).otherwise(0))
 
 
-def reward_result(text: Column, rubric: Column, fallback: bool = False, threshold: float = 5.0) -> Column:
-    """Struct score, criterion_scores, parse_source, num_parse_failures, fallback_used of a judge's text.
-
-    An unreadable text scores 0 with one failure for each criterion, or takes the fallback verdicts if asked to.
-    """
-    n = F.coalesce(F.size(rubric), F.lit(0))
-    read = parse.relaxed(text, n)
-    none = F.transform(rubric, lambda r: F.lit(0))
-    made = F.coalesce(read, fallback_verdicts(rubric, threshold) if fallback else none)
-    failed = read.isNull()
-    score = weighted_score(made, rubric_weights(rubric))
-    return F.struct(
-        (score if fallback else F.when(failed, F.lit(0.0)).otherwise(score)).alias("score"), made.alias("criterion_scores"), parse.source(text, n).alias("parse_source"),
-        F.when(failed & F.lit(not fallback), n).otherwise(0).cast("bigint").alias("num_parse_failures"), (failed & F.lit(fallback)).alias("fallback_used"),
-    )
-
-
 def log_sum_exp(xs: Column) -> Column:
     """log of the sum of exponentials of an array; negative infinity for an empty one."""
     top = F.array_max(xs)

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from judgelake.functions import num
-from judgelake.operators import metrics, splitting, validate
-from judgelake.operators.score import log_sum_exp, reward_result, weighted_score
+from judgelake.operators import metrics, reward, splitting, validate
+from judgelake.operators.score import log_sum_exp, weighted_score
 
 SCHEMA = (
     "model string, question_id string, answer_id bigint, parse_ok boolean, num_rules bigint, weight_sum bigint, rule_matches bigint, weighted_rule_matches bigint, "
@@ -80,9 +80,9 @@ def test_scores(spark):
 
 def test_reward(spark):
     df = spark.createDataFrame([("Rule 1: Verdict: yes\nRule 2: Verdict: no", [("a", "b", 1.0), ("c", "d", None)]), ("?", [("a", "b", 9.0)])], "t string, r array<struct<title:string,description:string,weight:double>>")
-    plain = [r[0] for r in df.select(reward_result(F.col("t"), F.col("r"))).collect()]
+    plain = [r[0] for r in df.select(reward.explicit_joint(F.array("t"), F.col("r"))).collect()]
     assert [(x["score"], x["criterion_scores"], x["num_parse_failures"]) for x in plain] == [(0.5, [1, 0], 0), (0.0, [0], 1)]
-    kept = df.select(reward_result(F.col("t"), F.col("r"), True)).collect()[1][0]
+    kept = df.select(reward.explicit_joint(F.array("t"), F.col("r"), fallback=True)).collect()[1][0]
     assert kept["score"] == 1.0 and kept["fallback_used"]
 
 
@@ -115,3 +115,16 @@ def test_sweep_and_calibration(spark):
         bins.setdefault(min(int(p * 10), 9), []).append((p, y))
     ece = sum(abs(sum(p for p, _ in b) - sum(y for _, y in b)) for b in bins.values()) / len(rows)
     assert metrics.calibration_error(df, "p", "y").first()["ece"] == pytest.approx(ece, abs=1e-6)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_orders_against_all_pairs(spark, few):
+    rng = random.Random(6)
+    rows = [("m", f"q{q}", a, rng.choice([True, True, True, False]), rng.choice([0, 1, 2, 5]) if q else rng.randint(0, 300), rng.choice([None, 0.5, 1.0, 2.0]) if q else rng.random()) for q in range(4) for a in range(150 if q == 0 else 12)]
+    df = spark.createDataFrame(rows, "model string, question_id string, answer_id bigint, parse_ok boolean, gold_total_score bigint, pred_total_score double")
+    got = {r["question_id"]: (r["pairs"], r["right"]) for r in metrics.figures_of_cells(metrics.score_cells(df), few=few).collect()}
+    sign = lambda a, b: (a > b) - (a < b)
+    for q in got:
+        read = [(r[4], r[5]) for r in rows if r[1] == q and r[3]]
+        right = sum(a[0] == b[0] if None in (a[1], b[1]) and a[1] == b[1] else None not in (a[1], b[1]) and sign(a[0], b[0]) == sign(a[1], b[1]) for a, b in itertools.combinations(read, 2))
+        assert got[q] == (len(read) * (len(read) - 1) // 2, right), q
