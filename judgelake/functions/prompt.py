@@ -55,8 +55,8 @@ def overall(question: Column, rubric: Column, response: Column, template: str =
 
 
 def model_spec(text: str) -> tuple[str, str, str | None]:
-    """label::base or label::base::adapter as its parts; an error for another number of parts or an empty one."""
+    """model, label::model or label::base::adapter as (label, model, adapter); an error for more parts."""
     parts = [p.strip() for p in text.split("::")]
-    if len(parts) not in (2, 3) or not all(parts):
-        raise ValueError(f"label::base or label::base::adapter expected, got {text!r}")
-    return parts[0], parts[1], parts[2] if len(parts) == 3 else None
+    if len(parts) > 3:
+        raise ValueError(f"model, label::model or label::base::adapter expected, got {text!r}")
+    return parts[0], parts[min(1, len(parts) - 1)], parts[2] if len(parts) == 3 else None

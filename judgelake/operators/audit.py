@@ -13,10 +13,14 @@ from judgelake.functions.num import pearson_or_null
 from judgelake.functions.text import trimmed
 
 
+#: Spellings of a reader who can't decide.
+UNSURE = ("unsure", "not sure", "not_sure", "tie", "unknown", "?")
+
+
 def label(x: Column) -> Column:
     """Yes, No, Unsure or, for anything else, an empty string."""
     plain = F.lower(trimmed(F.coalesce(x.cast("string"), F.lit(""))))
-    return F.when(plain.isin("yes", "y", "1", "true"), "Yes").when(plain.isin("no", "n", "0", "false"), "No").when(plain.isin("unsure", "u", "?"), "Unsure").otherwise("")
+    return F.when(plain.isin("yes", "y", "1", "true"), "Yes").when(plain.isin("no", "n", "0", "false"), "No").when(plain.isin(*UNSURE), "Unsure").otherwise("")
 
 
 def to_criteria(wide: DataFrame, keys: list[str], rules: int, fields: dict[str, str]) -> DataFrame:

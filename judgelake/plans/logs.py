@@ -43,13 +43,22 @@ def probe_train(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("vec_id % 2 = 1").agg(F.count(F.lit(1)).alias("n"), F.count_if((p >= 0.5) == (F.col("y") == 1)).alias("right"))
 
 
+def probe_network(spark: SparkSession, d: str) -> DataFrame:
+    """The same task by a hidden layer: dev loss chooses the epoch, accuracy is that of vectors seen in neither part."""
+    rows = read_table(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("label") < 5, 1).otherwise(0).alias("y"))
+    known = rows.filter("vec_id % 4 <> 3").withColumn("dev", F.col("vec_id") % 4 == 1)
+    head = probe.train_network(known, "embedding", "y", "dev", hidden=16, epochs=25)
+    scored = probe.network_probability(rows.filter("vec_id % 4 = 3"), "embedding", head)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("right"), F.lit(head["best_epoch"]).alias("best_epoch"))
+
+
 def first_documents(spark: SparkSession, d: str) -> DataFrame:
     """The first document of each distinct text."""
     rows = read_table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("h"))
     return flatten.first_of_each(rows, ["h"], ["doc_id"]).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (usage_window, usage_totals, feature_scale, probe_score, probe_train, first_documents)}
+QUERIES = {f.__name__: f for f in (usage_window, usage_totals, feature_scale, probe_score, probe_train, probe_network, first_documents)}
 
 _U = """u AS (SELECT DISTINCT make_timestamp(CAST(floor(ts * 1000000) AS BIGINT)) AS moment, backend, model, prompt_chars, num_messages, TRY_CAST(usage['prompt_tokens'] AS BIGINT) AS prompt_tokens,
     TRY_CAST(usage['completion_tokens'] AS BIGINT) AS completion_tokens, TRY_CAST(usage['total_tokens'] AS BIGINT) AS total_tokens FROM usage_log)"""

@@ -4,11 +4,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from judgelake.functions import num
-from judgelake.operators import metrics, reward, splitting, validate
+from judgelake.operators import metrics, probe, reward, splitting, validate
 from judgelake.operators.score import log_sum_exp, weighted_score
 
 SCHEMA = (
@@ -128,3 +129,32 @@ def test_orders_against_all_pairs(spark, few):
         read = [(r[4], r[5]) for r in rows if r[1] == q and r[3]]
         right = sum(a[0] == b[0] if None in (a[1], b[1]) and a[1] == b[1] else None not in (a[1], b[1]) and sign(a[0], b[0]) == sign(a[1], b[1]) for a, b in itertools.combinations(read, 2))
         assert got[q] == (len(read) * (len(read) - 1) // 2, right), q
+
+
+def test_network(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):
+        a, b = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        rows.append(([a, b], int(a * b > 0), k % 4 == 0))
+    df = spark.createDataFrame([*rows, (None, 1, False)], "v array<double>, y int, held boolean")
+    head = probe.train_network(df, "v", "y", "held", hidden=12, epochs=40, rate=0.1)
+    scored = probe.network_probability(df, "v", head).collect()
+    right = sum((r["p"] >= 0.5) == (r["y"] == 1) for r in scored if r["v"] is not None)
+    assert right > 0.9 * 400 and scored[-1]["p"] is None and 0 < head["best_epoch"] <= 40
+    linear = probe.train_network(df, "v", "y", "held", epochs=5)
+    assert len(linear["weights"]) == 3 and linear["best_dev_loss"] > head["best_dev_loss"]
+
+
+def test_gradient():
+    rng = np.random.default_rng(3)
+    for hidden in (0, 4):
+        net = probe.Network(3, hidden)
+        w, x, y = rng.normal(size=net.length), rng.normal(size=(5, 3)), np.array([0, 1, 1, 0, 1])
+        loss = lambda w: (lambda z: (np.logaddexp(0, z) - y * z).sum())(net.logits(w, x)[0])  # noqa: B023, E731
+        z, kept = net.logits(w, x)
+        got = net.gradient(w, x, 1 / (1 + np.exp(-z)) - y, kept)
+        for i in range(net.length):
+            e = np.zeros(net.length)
+            e[i] = 1e-6
+            assert got[i] == pytest.approx((loss(w + e) - loss(w - e)) / 2e-6, abs=1e-5)

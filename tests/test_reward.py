@@ -67,9 +67,9 @@ def test_prompts(spark):
     assert list(row) == ["{x} a {b}|", "a c c"]
     with pytest.raises(KeyError):
         prompt.filled("{none}", {})
-    assert prompt.model_spec("a::b") == ("a", "b", None) and prompt.model_spec("a::b::c") == ("a", "b", "c")
+    assert [prompt.model_spec(x) for x in ("a", "a::b", "a::b::c")] == [("a", "a", None), ("a", "b", None), ("a", "b", "c")]
     with pytest.raises(ValueError):
-        prompt.model_spec("a")
+        prompt.model_spec("a::b::c::d")
 
 
 def test_bank_build(spark):
@@ -136,9 +136,11 @@ def test_splits(spark):
 
 def test_numbers(spark):
     assert [num.back_off(k) for k in (1, 2, 9)] == [1.0, 2.0, 30.0] and num.batch_size(100, 30) == 3 and num.batch_size(1, 30) == 1
-    assert probe.select_layers("all", 3) == [0, 1, 2] and probe.select_layers("last", 3) == [2] and probe.select_layers("-1,0,2", 3) == [2, 0] and probe.select_layers("auto", 24)[-1] == 23
-    with pytest.raises(ValueError):
-        probe.select_layers("7", 3)
+    assert [probe.select_layers(x, 24) for x in ("last", "auto", "-1,1,24", "")] == [[24], [6, 12, 18, 24], [24, 1], []] and probe.select_layers("all", 3) == [1, 2, 3]
+    for bad in ("7", "0", "-4"):
+        with pytest.raises(ValueError):
+            probe.select_layers(bad, 3)
+    assert [r[0] for r in spark.createDataFrame([("Y",), (" Not sure",), ("?",), ("u",), (None,)], "x string").select(audit.label(F.col("x"))).collect()] == ["Yes", "Unsure", "Unsure", "", ""]
 
 
 def test_threshold_starts_from_a_half(spark):
