@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from judgelake.functions.num import pearson, ratio, six
 from judgelake.operators.metrics import class_figures, question_figures, spearman
+from judgelake.runtime import Stage
 
 
 def keyed(bank: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def shared_pairs(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     n = F.size("ref_items")
     clean = (n > 0) & (n == F.size("cand_items")) & (n == F.size("ref_weights")) & (F.col("ref_failures") == 0) & (F.col("cand_failures") == 0)
     clean &= ~F.exists("ref_items", lambda x: x.isNull()) & ~F.exists("cand_items", lambda x: x.isNull()) & F.col("ref_score").isNotNull() & F.col("cand_score").isNotNull()
-    out = rows.withColumn("parsed", F.coalesce(clean, F.lit(False)))
+    # Kept, since sums, ranks and orders each read the pairs; they hold figures only.
+    out = Stage(reference.sparkSession).keep(rows.withColumn("parsed", F.coalesce(clean, F.lit(False))))
     if out.limit(1).count() == 0:
         raise ValueError("the banks have no (question_id, candidate_id) in common")
     return out
