@@ -2,7 +2,8 @@
 
 Each answer is read whole, in this order, and gets the first defect found:
 empty      nothing but blanks, placeholders, markup and empty frames;
-refusal    every sentence refuses (a grammar of who, can't or won't, answer what) or is courtesy, and one refuses;
+refusal    every sentence refuses (a grammar of who, can't or won't, answer what), is courtesy or, behind a refusal, takes
+           up no word of the question, and one refuses;
 copy       greedy string tiling of the answer with the question leaves next to nothing uncovered but framing;
 language   script and function words of the body, quotations aside, are of another language than the question's;
 truncated  a pushdown parser finds a fence, bracket, quotation, formula, environment, tag, emphasis, list item or table
@@ -69,6 +70,8 @@ _NOT_REFUSAL = regex.compile(
     r"\b(?:cannot|can't|can not|couldn't|could not) (?:stress|emphasi[sz]e|overstate|understate|help but)\b|\b(?:declin|refus)(?:e|ed|es) to (?:call|accept|treat|believe)\b"
     r"|\bthat this is (?:so |too |rather )?(?:long|short|late|brief)\b", regex.I,
 )
+#: The first person in languages that name it.
+_FIRST_PERSON = regex.compile(r"\b(?:I|we|my|me|us|our|ich|wir|mir|uns|je|j|nous|moi|m)\b", regex.I)
 _COURTESY = regex.compile(
     r"^(?:hm+|sure|ok(?:ay)?|well|sorry|unfortunately|apologies|thanks? (?:you )?(?:for|very)|thank you|let me be frank|i understand|if you have (?:another|other|any)|is there (?:something|anything)|"
     r"questions? (?:about|on)|the topic of|you (?:asked|want)|please|feel free|i'?m happy|i am happy|happy to|still|while|in case|as an? (?:assistant|ai|language|model)|danke|entschuldig|tut mir|merci|désolé|je (?:suis )?désolé|"
@@ -156,15 +159,17 @@ def is_empty(body: str) -> bool:
     return not any(c.isalnum() for c in inner) and not any(ord(c) > 0x2100 for c in inner) or bool(_PLACEHOLDER.match(inner))
 
 
-def is_refusal(body: str) -> bool:
-    refused = False
+def is_refusal(body: str, known: set[str] | frozenset[str] = frozenset()) -> bool:
+    """Whether an answer refuses and does nothing else: courtesy may come with it and, behind a refusal in the first
+    person, sentences that take up no word of the question (known), such as reasons and advice."""
+    refused = spoken = False
     for part in _SPLIT.splititer(body):
         part = part.strip()
         if not part:
             continue
         if not _NOT_REFUSAL.search(part) and any(r.search(part) for r in _REFUSALS):
-            refused = True
-        elif not _COURTESY.match(part):
+            refused, spoken = True, spoken or bool(_FIRST_PERSON.search(part))
+        elif not _COURTESY.match(part) and not (spoken and known and not any(len(w) > 3 and w in known for w in words_of(fold(part)))):
             return False
     return refused
 
@@ -293,7 +298,7 @@ def is_copy(answer: list[str], asked: Asked) -> bool:
             left[w] -= 1
     rest = len(answer) - int(covered.sum())
     dense = (covered[2:] & covered[1:-1] & covered[:-2]).sum() >= DENSE * len(answer)
-    return (dense or used.sum() >= GIVEN * len(question)) and open_words <= FRAMING and (open_words <= (1 - COVERED) * len(answer) or rest <= FRAMING)
+    return (dense or min(used.sum(), covered.sum()) >= GIVEN * len(question)) and open_words <= FRAMING and (open_words <= (1 - COVERED) * len(answer) or rest <= FRAMING)
 
 
 #: Tags that are always closed; others may stand open.
@@ -378,7 +383,7 @@ class Judge:
             body = _OPEN_THINK.sub(" ", closed)
         if is_empty(body):
             return "empty"
-        if is_refusal(body.strip()):
+        if is_refusal(body.strip(), asked.known):
             return "refusal"
         if is_copy(words_of(fold(body)), asked):
             return "copy"

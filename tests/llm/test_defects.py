@@ -10,7 +10,8 @@ GOOD = "The lens depends on the mirror, which narrows the beam by 12 percent. At
 CASES = [
     (GOOD, None), ("", "empty"), (None, "empty"), (" \n\t", "empty"), ("N/A", "empty"), ("<think>\n</think>\n", "empty"), (r"\boxed{}", "empty"), ("Answer:", "empty"), ("```\n```", "empty"), ("{}", "empty"),
     ("I'm sorry, but I can't help with that request.", "refusal"), ("<think>hm</think>As an assistant, I am not able to answer this. Thank you for understanding.", "refusal"),
-    ("Diese Frage darf ich leider nicht beantworten.", "refusal"), ("Je ne peux pas répondre à cette question.", "refusal"), ("抱歉,我无法回答这个问题。", "refusal"),
+    ("I'm sorry, but I can't assist with this request. Providing such information could be harmful. " + "Please consult a qualified professional, since they know the details of your case. There are good books about safety. " * 3, "refusal"),
+    ("I can't give exact numbers. The lens widens the beam.", None), ("The beam is unable to follow the plate. Here the prism stands for another, and the gap bounds it.", None), ("Diese Frage darf ich leider nicht beantworten.", "refusal"), ("Je ne peux pas répondre à cette question.", "refusal"), ("抱歉,我无法回答这个问题。", "refusal"),
     ("I cannot stress enough that the mirror narrows the beam. " + GOOD, None), ("The lens is unable to widen the beam past the mirror.", None),
     (Q, "copy"), (Q.upper(), "copy"), ("You asked: " + Q, "copy"), (Q + " " + GOOD + " " + GOOD, None),
     ("Die Linse hängt von dem Spiegel ab, der das Licht nicht mehr auf die ganze Platte wirft, und wird durch den Rand begrenzt.", "language"), ("根据报告,镜子在大多数情况下取决于光线,而不是透镜。", "language"),
