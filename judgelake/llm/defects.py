@@ -32,7 +32,7 @@ from judgelake.llm.text import LONGEST, fold, slip, words_of
 SAMPLE = 5000
 #: Share of an answer's words that must stand in the question, and words that framing may add.
 COVERED, FRAMING = 0.82, 5
-#: A copy has this share of its words at the beginning of three tiled ones, or gives this share of the question back;
+#: A copy has this share of its words at the beginning of three that stand so in the question, or gives this share of the question back;
 #: and so many of its words stand in the question letter by letter.
 DENSE, GIVEN, LITERAL = 0.45, 0.75, 0.4
 TILE = 3
@@ -297,7 +297,8 @@ def is_copy(answer: list[str], asked: Asked) -> bool:
             open_words += left[w] < 1
             left[w] -= 1
     rest = len(answer) - int(covered.sum())
-    dense = (covered[2:] & covered[1:-1] & covered[:-2]).sum() >= DENSE * len(answer)
+    grams = {tuple(question[i : i + TILE]) for i in range(len(question) - TILE + 1)}
+    dense = sum(tuple(answer[i : i + TILE]) in grams for i in range(len(answer) - TILE + 1)) >= DENSE * len(answer)
     return (dense or min(used.sum(), covered.sum()) >= GIVEN * len(question)) and open_words <= FRAMING and (open_words <= (1 - COVERED) * len(answer) or rest <= FRAMING)
 
 
