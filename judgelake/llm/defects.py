@@ -123,8 +123,8 @@ _QUOTED = regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\
 _HAN, _CYRILLIC = regex.compile(r"\p{Han}"), regex.compile(r"\p{Cyrillic}")
 
 
-def language(text: str, least: int = 3) -> str | None:
-    """Language of a text by script and function words; None where too little tells."""
+def language(text: str, least: int = 3, words: list[str] | None = None) -> str | None:
+    """Language of a text by script and function words; None where too little tells. words: its words, if they are known."""
     if not text.isascii():
         letters = max(1, sum(map(str.isalpha, text)))
         for name, signs, few in _SCRIPTS:
@@ -136,7 +136,7 @@ def language(text: str, least: int = 3) -> str | None:
             return "zh"
         if cyrillic * 2 > letters and cyrillic >= 8:
             return "ru"
-    words = words_of(fold(text))
+    words = words_of(fold(text)) if words is None else words
     return _told(words, _FUNCTION, _WORD_LANGUAGE, least) or _told(words, _FUNCTION | _FURTHER, _WORD_FURTHER, least + 2)
 
 
@@ -386,10 +386,11 @@ class Judge:
             return "empty"
         if is_refusal(body.strip(), asked.known):
             return "refusal"
-        if is_copy(words_of(fold(body)), asked):
+        words = words_of(fold(body))
+        if is_copy(words, asked):
             return "copy"
         if spoken:
-            own = language(_QUOTED.sub(" ", body) if any(q in body for q in "“«„\"") else body)
+            own = language(_QUOTED.sub(" ", body)) if any(q in body for q in "“«„\"") else language(body, words=words)
             if own and own != spoken:
                 return "language"
         if left_open(body.rstrip()) or self.model.score(body) >= THRESHOLD:
