@@ -94,4 +94,5 @@ def alignment(pairs: DataFrame) -> DataFrame:
         read.select("all", "question_id", F.col("candidate_id").alias("answer_id"), F.lit(True).alias("parse_ok"), F.col("ref_score").alias("gold_total_score"), F.col("cand_score").alias("pred_total_score")), "all"
     ).groupBy("all").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairwise_pairs_total"), six(ratio(F.sum("right"), F.sum("pairs"))).alias("pairwise_order_accuracy"))
     both = both.join(F.broadcast(order), (F.col("overall") == 1) & F.col("all"), "left")
+    both = both.withColumns({"criterion_item_agreement": F.col("rule_hamming_accuracy"), "score_mean_absolute_error": F.col("score_mae")})  # older names
     return both.withColumn("score_spearman", six(F.coalesce("spearman", F.lit(0.0)))).drop("o", "c", "spearman", "all")

@@ -26,16 +26,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def flatten_samples(bench: DataFrame) -> DataFrame:
-    """One row per answer of each question with a rubric. A stored total wins over the computed one."""
-    rows = bench.filter(F.coalesce(F.size("refined_rubric"), F.lit(0)) > 0).select(
-        "record_id", "question_id", "question", "refined_rubric", F.posexplode("answers").alias("pos", "a")
-    )
+def flatten_samples(bench: DataFrame, texts: bool = True) -> DataFrame:
+    """One row per answer of each question with a rubric, with model and response if texts are asked for. A stored total
+    wins over the computed one."""
+    rows = bench.filter(F.coalesce(F.size("refined_rubric"), F.lit(0)) > 0).select("record_id", "question_id", "refined_rubric", F.posexplode("answers").alias("pos", "a"))
     answer = F.coalesce(F.col("a.answer_id"), F.lit(-1).cast("bigint"))
     rows = rows.filter(F.col("a").isNotNull()).select(
         "record_id", "question_id", answer.alias("answer_id"), F.col("pos").cast("bigint").alias("pos"),
         F.concat_ws("_", F.coalesce("question_id", F.lit("")), answer.cast("string")).alias("sample_id"),
-        F.col("a.model").alias("model"), F.col("a.answer_text").alias("response"), "refined_rubric",
+        *([F.col("a.model").alias("model"), F.col("a.answer_text").alias("response")] if texts else []), "refined_rubric",
         F.size("refined_rubric").cast("bigint").alias("num_rules"), rule_weights(F.col("refined_rubric")).alias("rule_weights"),
         gold_verdicts(F.col("refined_rubric"), F.coalesce("a.grade", F.expr("array()"))).alias("gold_verdicts"), F.col("a.total_score").alias("stored"),
     )

@@ -385,7 +385,7 @@ ORACLE = {
         sp AS (SELECT candidate_id, o, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS spear FROM rk GROUP BY 1, 2),
         pw AS (SELECT count(*) AS pairs, count(*) FILTER (sign(a.rs - b.rs) = sign(a.cs - b.cs)) AS rights FROM (SELECT * FROM y WHERE o = 0) a JOIN (SELECT * FROM y WHERE o = 0) b ON a.question_id = b.question_id AND a.candidate_id < b.candidate_id)
         SELECT g.candidate_id, CAST(overall AS BIGINT) AS overall, n AS samples_total, kk AS samples_parse_ok, n - kk AS samples_parse_failed, CAST(items AS BIGINT) AS criterion_items_total, {_classes()}, {', '.join(f"round({e}, 6) AS {n}" for n, e in (
-          ('parse_success_rate', _R('kk', 'n')), ('reference_parse_success_rate', f"1 - {_R('rf', 'rj')}"), ('candidate_parse_success_rate', 'CAST(1 AS DOUBLE)'), ('rule_exact_match_rate', _R('ex', 'kk')), ('rule_hamming_accuracy', _R('same', 'items')),
+          ('parse_success_rate', _R('kk', 'n')), ('reference_parse_success_rate', f"1 - {_R('rf', 'rj')}"), ('candidate_parse_success_rate', 'CAST(1 AS DOUBLE)'), ('rule_exact_match_rate', _R('ex', 'kk')), ('rule_hamming_accuracy', _R('same', 'items')), ('criterion_item_agreement', _R('same', 'items')), ('score_mean_absolute_error', _R('ad', 'kk')),
           ('rule_positive_accuracy', _R('pos_same', 'pos')), ('rule_penalty_accuracy', _R('pen_same', 'pen')), ('rule_weighted_accuracy_abs', _R('wt_same', 'wt')), ('rule_weighted_accuracy_positive', _R('wp_same', 'wp')), ('rule_weighted_accuracy_penalty_abs', _R('wn_same', 'wn')),
           ('score_exact_match_rate', _R('ss', 'kk')), ('score_mae', _R('ad', 'kk')),
           ('score_rmse', f"sqrt({_R('sd', 'kk')})"), ('score_mean_error_bias', _R('sg', 'kk')), ('score_within_0p05_rate', _R('w05', 'kk')), ('score_within_0p10_rate', _R('w10', 'kk')), ('score_pearson', 'rho'), ('score_spearman', 'coalesce(spear, 0.0)'), ('reference_mean_score', _R('rsum', 'kk')), ('candidate_mean_score', _R('csum', 'kk'))))},

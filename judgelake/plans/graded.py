@@ -10,12 +10,30 @@ from judgelake.operators import flatten, splitting
 from judgelake.runtime import read_table
 
 
-def _bench(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "bench")
+TOP = {"question_id": "string", "question": "string", "original_rubric": "string", "ingested_at": "timestamp"}
+RULE = {"rule_id": "string", "type": "string", "rubric": "string"}
+ANSWER = {"answer_id": "bigint", "model": "string", "answer_text": "string", "total_score": "bigint"}
+GRADE = {"rule_id": "bigint", "type": "string", "justification": "string", "verdict": "string"}
+
+
+def _bench(spark: SparkSession, d: str, top: str = "", rule: str = "", answer: str = "", grade: str = "") -> DataFrame:
+    """The bench with the named fields only, so that a scan reads no other column."""
+    told = lambda kinds, names: [f"{c}:{kinds[c]}" for c in names.split()]
+    columns = ["record_id bigint", *(f"{c} {TOP[c]}" for c in top.split())]
+    if rule:
+        columns.append(f"refined_rubric array<struct<{','.join(told(RULE, rule))}>>")
+    inner = told(ANSWER, answer) + ([f"grade:array<struct<{','.join(told(GRADE, grade))}>>"] if grade else [])
+    if inner:
+        columns.append(f"answers array<struct<{','.join(inner)}>>")
+    return read_table(spark, d, "bench", ", ".join(columns))
+
+
+def _samples(spark: SparkSession, d: str, rule: str = "rule_id type") -> DataFrame:
+    return flatten.flatten_samples(_bench(spark, d, "question_id", rule, "answer_id total_score", "rule_id verdict"), texts=False)
 
 
 def flatten_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = flatten.flatten_samples(_bench(spark, d))
+    rows = _samples(spark, d)
     return rows.select(
         "record_id", "pos", "sample_id", "question_id", "answer_id", "num_rules", "gold_total_score",
         X.verdict_letters(F.col("gold_verdicts")).alias("gold_yn"), F.array_join("rule_weights", ",").alias("weights"),
@@ -23,20 +41,20 @@ def flatten_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def criterion_items(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.criterion_items(flatten.flatten_samples(_bench(spark, d)))
+    return flatten.criterion_items(_samples(spark, d))
 
 
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
     """Questions whose answer 1 has 10 points, answer 2 at most 3, and any answer 2 to 8."""
     total = lambda i: F.try_element_at(F.filter("answers", lambda a: a["answer_id"] == i), F.lit(1))["total_score"]
     middle = F.exists("answers", lambda a: F.coalesce(a["total_score"].between(2, 8), F.lit(False)))
-    return _bench(spark, d).filter((total(1) == 10) & (total(2) <= 3) & middle).select("record_id", "question_id")
+    return _bench(spark, d, "question_id", "", "answer_id total_score").filter((total(1) == 10) & (total(2) <= 3) & middle).select("record_id", "question_id")
 
 
 def mixed_quality(spark: SparkSession, d: str) -> DataFrame:
     """The same filter with points as parameters: best answer at least 8, worst at most 3."""
     totals = F.transform("answers", lambda a: a["total_score"])
-    return _bench(spark, d).filter((F.array_max(totals) >= 8) & (F.array_min(totals) <= 3)).select(
+    return _bench(spark, d, "question_id", "", "total_score").filter((F.array_max(totals) >= 8) & (F.array_min(totals) <= 3)).select(
         "record_id", "question_id", F.array_max(totals).alias("best"), F.array_min(totals).alias("worst")
     )
 
@@ -44,17 +62,17 @@ def mixed_quality(spark: SparkSession, d: str) -> DataFrame:
 def refined_valid(spark: SparkSession, d: str) -> DataFrame:
     count = lambda t: F.size(F.filter("refined_rubric", lambda r: r["type"] == t))
     ok = (F.size("refined_rubric") == 6) & (count("hard") == 2) & (count("soft") == 4)
-    return _bench(spark, d).select("record_id", F.coalesce(ok, F.lit(False)).alias("valid"))
+    return _bench(spark, d, "", "type").select("record_id", F.coalesce(ok, F.lit(False)).alias("valid"))
 
 
 def hard_rule_count(spark: SparkSession, d: str) -> DataFrame:
     n = F.regexp_count("original_rubric", F.lit(r"\[Hard Rule\]")).cast("bigint")
-    return _bench(spark, d).filter(n == 2).select("record_id", n.alias("hard_rules"))
+    return _bench(spark, d, "original_rubric").filter(n == 2).select("record_id", n.alias("hard_rules"))
 
 
 def merge_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries put together, the first of each question by time of arrival stays."""
-    rows = _bench(spark, d)
+    rows = _bench(spark, d, "question_id ingested_at")
     first = rows.filter(F.col("record_id") % 2 == 0).select("record_id", "question_id", "ingested_at")
     second = rows.filter(F.col("record_id") % 2 == 1).select("record_id", "question_id", "ingested_at")
     merged = first.unionByName(second).filter("question_id is not null")
@@ -62,17 +80,17 @@ def merge_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rubric_listing(spark: SparkSession, d: str) -> DataFrame:
-    return _bench(spark, d).filter(F.size("refined_rubric") > 0).select("record_id", X.rubric_listing(F.col("refined_rubric")).alias("listing"))
+    return _bench(spark, d, "", "rubric type").filter(F.size("refined_rubric") > 0).select("record_id", X.rubric_listing(F.col("refined_rubric")).alias("listing"))
 
 
 def sft_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = flatten.flatten_samples(_bench(spark, d))
+    rows = _samples(spark, d, "rule_id type rubric")
     return rows.select("record_id", "pos", X.sft_lines(F.col("refined_rubric"), F.col("gold_verdicts"), 60).alias("target"))
 
 
 def grade_totals(spark: SparkSession, d: str) -> DataFrame:
     """Points of each answer from its grades: 3 for a hard rule, 1 for any other or unknown rule that is met."""
-    rows = _bench(spark, d).select("record_id", "refined_rubric", F.posexplode("answers").alias("pos", "a")).filter("a is not null")
+    rows = _bench(spark, d, "", "rule_id type", "total_score", "rule_id verdict").select("record_id", "refined_rubric", F.posexplode("answers").alias("pos", "a")).filter("a is not null")
     kind = lambda g: F.try_element_at(F.filter("refined_rubric", lambda r: r["rule_id"] == g["rule_id"].cast("string")), F.lit(1))["type"]
     points = lambda g: F.when(F.lower(F.trim(g["verdict"])) == "yes", F.when(kind(g) == "hard", 3).otherwise(1)).otherwise(0)
     total = F.aggregate(F.coalesce("a.grade", F.expr("array()")), F.lit(0).cast("bigint"), lambda s, g: s + points(g))
@@ -83,26 +101,26 @@ def dataset_profile(spark: SparkSession, d: str) -> DataFrame:
     """Histogram of rubric sizes with hard and soft rules and answers."""
     count = lambda t: F.coalesce(F.size(F.filter("refined_rubric", lambda r: r["type"] == t)), F.lit(0))
     n = F.coalesce(F.size("refined_rubric"), F.lit(0))
-    return _bench(spark, d).groupBy(n.cast("bigint").alias("rules"), count("hard").cast("bigint").alias("hard"), count("soft").cast("bigint").alias("soft")).agg(
+    return _bench(spark, d, "", "type", "answer_id").groupBy(n.cast("bigint").alias("rules"), count("hard").cast("bigint").alias("hard"), count("soft").cast("bigint").alias("soft")).agg(
         F.count(F.lit(1)).alias("questions"), F.sum(F.coalesce(F.size("answers"), F.lit(0))).alias("answers")
     )
 
 
 def graded_left_join(spark: SparkSession, d: str) -> DataFrame:
     """Every question with the number of its graded answers; none is 0."""
-    rows = _bench(spark, d)
+    rows = _bench(spark, d, "", "", "", "rule_id")
     graded = rows.select("record_id", F.explode("answers").alias("a")).filter("size(a.grade) > 0").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("record_id").join(graded, "record_id", "left").select("record_id", F.coalesce("n", F.lit(0)).alias("graded"))
 
 
 def verdict_spellings(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of verdicts with what they are read as."""
-    grades = _bench(spark, d).select(F.explode("answers").alias("a")).select(F.explode("a.grade").alias("g"))
+    grades = _bench(spark, d, "", "", "", "verdict").select(F.explode("answers").alias("a")).select(F.explode("a.grade").alias("g"))
     return grades.groupBy(F.col("g.verdict").alias("spelling")).agg(F.count(F.lit(1)).alias("n")).withColumn("verdict", X.token(F.col("spelling")).cast("bigint"))
 
 
 def sampled_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.sample_pairs(flatten.flatten_samples(_bench(spark, d)), 50)
+    return splitting.sample_pairs(_samples(spark, d), 50)
 
 
 QUERIES = {

@@ -83,6 +83,9 @@ def test_narrow_scans(spark):
     for name in ("score_summary", "run_summary", "weighted_score", "threshold_sweep", "bank_items", "keyed_candidates", "alignment"):
         plan = registry.QUERIES[name](spark, str(data))._jdf.queryExecution().executedPlan().toString()
         assert "raw_judge_response" not in plan and "response:string" not in plan, name
+    for name in ("flatten_samples", "criterion_items", "grade_totals", "sft_targets", "mixed_quality"):
+        plan = registry.QUERIES[name](spark, str(data))._jdf.queryExecution().executedPlan().toString()
+        assert "answer_text" not in plan and "justification" not in plan, name
     plan = registry.QUERIES["candidate_text_profile"](spark, str(data))._jdf.queryExecution().executedPlan().toString()
     assert "reward_result" not in plan
 
