@@ -50,3 +50,9 @@ def score_stream(requests: DataFrame, score: Callable[[DataFrame], DataFrame], o
         score(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def health(query: StreamingQuery) -> dict[str, object]:
+    """State of a scoring stream: whether it runs, its last batch and that batch's rows, and its error if it failed."""
+    last, failed = query.lastProgress, query.exception()
+    return {"active": query.isActive, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else 0, "error": str(failed) if failed else None}

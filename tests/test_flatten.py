@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from judgelake.operators import align, flatten, validate
+from judgelake.operators import align, flatten, reward, validate
 from judgelake.plans import registry
 from judgelake.sources import readers, writers
 from judgelake.streaming import usage
@@ -132,6 +132,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream and stream <= batch and sum(x[1] for x in batch) == 12
 
 
+def test_scoring_stream(spark, tmp_path):
+    schema = "id bigint, split string, texts array<string>, rubric array<struct<title:string,description:string,weight:double>>"
+    requests = [(1, "train", ["Rule 1: Verdict: Yes"], [("a", "b", 2.0)]), (2, "test", ["Rule 1: Verdict: Yes"], [("a", "b", 2.0)]), (3, "train", ["?"], [("a", "b", 2.0)])]
+    spark.createDataFrame(requests, schema).write.parquet(str(tmp_path / "in"))
+    score = lambda df: df.select("id", reward.compute_score(F.col("texts"), F.col("rubric"), F.col("split"))["score"].alias("score"))
+    query = usage.score_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), score, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(120)
+    assert {(r["id"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1.0), (2, 0.0), (3, 0.0)}
+    told = usage.health(query)
+    assert (told["active"], told["error"]) == (False, None)
+
+
 def test_tagged_rubric(spark):
     df = spark.sql("select array(named_struct('criterion', 'c', 'points', 2, 'tags', array('x', 'axis:depth')), named_struct('criterion', 'd', 'points', null, 'tags', null)) as r")
     assert [tuple(x) for x in df.select(flatten.tagged_rubric(F.col("r"))).first()[0]] == [("depth", "c", 2.0), ("criterion", "d", 1.0)]
