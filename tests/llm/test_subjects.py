@@ -1,5 +1,9 @@
 import math
 import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from judgelake.llm import subjects
 
@@ -62,3 +66,58 @@ def test_terms_are_ranked_within_their_subject_and_script(spark):
     assert not any(t.startswith("plain") or t == "rare" for t in got)
     assert got["shared"].keys() == {0}
     assert got["shared"][0] == round((math.log(20.2 / 101) - math.log(40.2 / 10001)) * 20 / 21, 4)
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    rng = random.Random(3)
+    last = [r[0] for r in spark.range(12_040).orderBy(F.xxhash64("id").desc()).limit(40).collect()]  # in a draw by hash of 12,000 there were none of them
+    rare = {"music": ["violin", "sonata", "choir", "grand piano"]}
+    about = {i: "music" if i in set(last) else rng.choice(list(TERMS)) for i in range(12_040)}
+    words = TERMS | rare
+    rows = [(i, " ".join(rng.choice(FORMS).format(a=rng.choice(words[s]), b=rng.choice(words[s])) for _ in range(4)), "s") for i, s in about.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, s, "a") for i, s in about.items()], "doc_id bigint, subject string, annotator string")
+    areas = spark.createDataFrame([(s, s, s) for s in words], "subject string, title string, description string")
+    got = {r["doc_id"] for r in subjects.find_subjects(docs, labels, areas).filter("subject = 'music'").collect()}
+    assert got == set(last)
+
+
+def test_thresholds_come_from_all_labels(spark, monkeypatch):
+    docs, labels, areas, truth = frames(spark)
+    seen = []
+    real = subjects._thresholds
+    monkeypatch.setattr(subjects, "_thresholds", lambda tried, held, *rest: seen.append((tried, held)) or real(tried, held, *rest))
+    subjects.find_subjects(docs, labels, areas)
+    ((tried, held),) = seen
+    assert {r["doc_id"] for r in held.collect()} == {i for i in truth if i % 2 == 0}
+    assert len({r["doc_id"] for r in tried.collect()}) > 70
+
+
+def term_candidates(words):
+    out = set()
+    for i, w in enumerate(words):
+        plain = [not (x[0].isdigit() or subjects._HAN.match(x)) for x in words[i : i + 3]]
+        if subjects._HAN.match(w):
+            for k in range(2, 5):
+                if i + k <= len(words) and all(map(subjects._HAN.match, words[i : i + k])):
+                    out.add(" ".join(words[i : i + k]))
+        elif plain[0] and len(w) > 2:
+            out.add(w)
+            if len(w) > 3 and len(plain) > 1 and plain[1]:
+                if len(words[i + 1]) > 3:
+                    out.add(" ".join(words[i : i + 2]))
+                elif len(plain) > 2 and plain[2] and len(words[i + 2]) > 3:
+                    out.add(" ".join(words[i : i + 3]))
+    return out
+
+
+def test_term_counts():
+    rng = random.Random(4)
+    of = ["a", "of", "the", "12", "1.5", "burden", "proof", "суд", "закон", *"酶很少细胞膜"]
+    lines = [" ".join(rng.choices(of, k=rng.randint(1, 12))) for _ in range(400)] + [""]
+    classes = np.array([rng.randrange(3) for _ in lines])
+    terms, cls, n = subjects.term_counts(lines, classes)
+    wanted = Counter((t, int(c)) for line, c in zip(lines, classes, strict=True) if line for t in term_candidates(line.split(" ")))
+    assert len(terms) == len(wanted)
+    assert dict(zip(zip(terms.to_pylist(), cls.tolist(), strict=True), n.tolist(), strict=True)) == wanted
+    assert len(subjects.term_counts(["12 of"], np.array([0]))[0]) == 0
